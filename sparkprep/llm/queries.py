@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import encode, fill_rows, split_long, token_budget
+from . import encode, fill_rows, split_long, text_stats, token_budget
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _common_words(spark: SparkSession, d: str) -> frozenset[str]:
+    """The frequent words, a table of fixed size (25 for each language)."""
+    return frozenset(w for (w,) in table(spark, d, "common_words").select("word").distinct().collect() if w)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = text_stats.text_kinds(table(spark, d, "messages"), "msg_id", "content", _common_words(spark, d))
+    return kinds.where(F.col("kind").isin("list", "table", "junk")).dropDuplicates(["msg_id"])
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_stats.text_quality(table(spark, d, "messages"), "msg_id", "content", _common_words(spark, d)).dropDuplicates(["msg_id"])
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_long.split_oversized(table(spark, d, "messages"), "msg_id", "content").dropDuplicates(["msg_id", "piece_no"])
 
@@ -42,7 +57,7 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows)}
+    return {f.__name__: f for f in (p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
