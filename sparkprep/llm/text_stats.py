@@ -33,6 +33,7 @@ _CODE = re.compile(r"[;{}]\s*$|[=!<>]=|\w\(|[\"']\s*:|^\s*(?://|/\*|#\s|\*\s|[\]
 _GAP = re.compile(r"(?<=\S)  +(?=\S)")
 _RUN = re.compile(r"(\S)\1{4,}")
 _IDENT = re.compile(r"[a-z]_[a-z]|[a-z][A-Z]|[a-z]\d|[a-z]\.[a-z]")
+_LONG = re.compile(r"(\S{201,})")
 _DELIMITERS = "|│\t;,&"
 
 
@@ -81,12 +82,21 @@ def _delimiter(line: str) -> tuple[int, int]:
     return best, which
 
 
+def _parts(line: str) -> list[str]:
+    """A line, nothing if it is blank; a run of over 200 non-blank characters is a line of its own."""
+    if len(line) > 200 and max(map(len, line.split()), default=0) > 200:
+        return [x for x in _LONG.split(line) if x.strip()]
+    return [line] if line.strip() else []
+
+
 def line_features(texts: list[str], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(features, non-blank characters, index of the text, lines) of all lines that are not blank."""
+    """(features, non-blank characters, index of the text, lines) of all lines that are not blank.
+
+    ``common`` are the frequent words of all languages."""
     lines: list[str] = []
     owner: list[int] = []
     for i, t in enumerate(texts):
-        own = [x for x in t.splitlines() if x.strip()]
+        own = [y for x in t.splitlines() for y in _parts(x)]
         lines += own
         owner += [i] * len(own)
     n = len(lines)

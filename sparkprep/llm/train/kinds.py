@@ -25,10 +25,10 @@ PROSE, CODE, LIST, TABLE, JUNK = range(5)
 #: msg_id of the 0.1 data by kind, read and decided by hand.
 HOLDOUT = {
     "prose": [15604, 37424, 20386, 39534, 46428, 14479, 34763, 11128, 17041, 16554, 25582, 24315, 16356, 32824, 19628, 23359, 252, 16322, 26858, 45769, 30111, 31094, 6012, 2835, 20067],
-    "code": [43118, 15949, 21987, 48695, 25336, 13045, 12460, 40333, 42920, 29093, 29707, 46613, 31931, 31524, 10953, 17607, 30223, 49735, 27134, 48118, 48947, 2627, 34717, 5617, 46338],
+    "code": [18018, 49988, 4379, 43118, 15949, 21987, 48695, 25336, 13045, 12460, 40333, 42920, 29093, 29707, 46613, 31931, 31524, 10953, 17607, 30223, 49735, 27134, 48118, 48947, 2627, 34717, 5617, 46338],
     "list": [49709, 23509, 4163, 24516, 11674, 10302, 29750, 22138, 4893, 41608, 14779, 10540, 10736, 16902, 34233],
     "table": [22741, 26087, 17492, 36923, 31632, 20432, 40544, 43207, 40177, 22537, 24024, 35522, 15522, 4597, 23965, 32376, 48620, 28194, 29237, 12880, 37834, 22554, 34092, 24486, 15947, 3401, 44458, 20156, 3557, 11058, 47233, 41780, 34444],
-    "junk": [32668, 26150, 21468, 28854, 6017, 8311, 28117, 29558, 48783, 31933, 34839, 7120, 30295, 16409, 46764, 23209, 17075, 4686, 23777, 4363, 43757, 35164, 37841, 46080],
+    "junk": [11358, 31360, 36473, 32668, 26150, 21468, 28854, 6017, 8311, 28117, 29558, 48783, 31933, 34839, 7120, 30295, 16409, 46764, 23209, 17075, 4686, 23777, 4363, 43757, 35164, 37841, 46080],
 }
 
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
@@ -82,11 +82,11 @@ def weak(lines: list[str], common: frozenset[str]) -> list[int | None]:
         words_set = len(set(words[i])) / max(1, len(words[i]))
         if _RULE.match(x) and (fields[i] or aligned[i]):
             out[i] = TABLE
-        elif _HEX.match(x) or (_BLOB.search(x) and share[i] < 0.05 and len(_BLOB.search(x).group()) > 0.6 * len(solid) and "_" not in x and "." not in x) or run > 0.6 or odd > 0.08 and delim[i][1] not in "│":
+        elif _HEX.match(x) or (_BLOB.search(x) and not code[i] and share[i] < 0.05 and len(_BLOB.search(x).group()) > 0.6 * len(solid) and "_" not in x and "." not in x) or run > 0.6 or odd > 0.08 and delim[i][1] not in "│":
             out[i] = JUNK
-        elif lines.count(x) > 5 and not _RULE.match(x):
+        elif lines.count(x) > 5 and not _RULE.match(x) and not code[i]:
             out[i] = JUNK
-        elif len(words[i]) > 9 and words_set < 0.3:
+        elif len(words[i]) > 9 and words_set < 0.3 and not code[i]:
             out[i] = JUNK
         elif letters < 0.25 and len(solid) > 30 and not fields[i] and not aligned[i] and not code[i]:
             out[i] = JUNK
@@ -113,7 +113,11 @@ def weak(lines: list[str], common: frozenset[str]) -> list[int | None]:
 
 def made_junk(clean: list[str], rng: random.Random) -> str:
     """A piece of structural junk of a random kind."""
-    kind, n = rng.randrange(9), rng.randint(80, 900)
+    kind, n = rng.randrange(11), rng.choice([rng.randint(80, 900), rng.randint(900, 8000)])
+    if kind == 9:
+        return rng.randbytes(n // 2).hex()
+    if kind == 10:
+        return "".join(f"%{rng.randrange(256):02X}" for _ in range(n // 3))
     if kind == 0:
         return base64.b64encode(rng.randbytes(n)).decode()
     if kind == 1:
@@ -138,6 +142,24 @@ def made_junk(clean: list[str], rng: random.Random) -> str:
     return rng.choice(["\n", " | ", " » ", " • ", " · "]).join(picked)
 
 
+def made_code(rng: random.Random) -> str:
+    """Minified code or data: long lines with hardly any white space."""
+
+    def name() -> str:
+        return rng.choice(["a", "b", "c", "el", "cb", "node", "initApp", "get_size", "fn2", "x", "item.id", "row", "self._n", "mapKey9"])
+
+    def step() -> str:
+        return rng.choice([
+            f"function {name()}({name()},{name()}){{return {name()}+{name()}({rng.randint(1, 999)})}};", f"var {name()}={name()}[{rng.randint(0, 99)}];",
+            f"if({name()}){{{name()}({name()})}}", f"function/*{rng.choice(['', '*', '!'])}*/{name()}({name()}){{return[{name()}*{rng.randint(1, 999)},{name()}.{name()}(0.{rng.randint(1, 999)})]}};",
+            f"{name()}=>{{{name()}={rng.randint(1, 99)};return {name()}}},", f'{{"{name()}":{rng.randint(1, 99999)},"{name()}":["{name()}",{rng.random():.3f}]}},',
+        ])
+
+    one = rng.random() < 0.5
+    first = step()
+    return "".join(first if one and rng.random() < 0.6 else step() for _ in range(rng.randint(3, 150)))
+
+
 def main(messages: str, common_words: str) -> None:
     import duckdb
 
@@ -151,15 +173,18 @@ def main(messages: str, common_words: str) -> None:
     texts = special[: BOUND * 3 // 4] + [t for _, t in rng.sample(plain, BOUND // 4)]
     clean = [t for _, t in plain if re.match(r"[A-ZÀ-Ý][a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+", t) and len(t) > 300]
     made = [made_junk(clean, rng) for _ in range(1500)]
+    coded = [made_code(rng) for _ in range(500)]
     mixed = [rng.choice(clean)[:400] + rng.choice(["\n", "\n\n"]) + x for x in made[:400]]
-    x, size, at, lines = line_features(texts + made + mixed, common)
+    x, size, at, lines = line_features(texts + made + coded + mixed, common)
     labels: list[int | None] = []
-    by_text: list[list[str]] = [[] for _ in range(len(texts) + len(made) + len(mixed))]
+    by_text: list[list[str]] = [[] for _ in range(len(texts) + len(made) + len(coded) + len(mixed))]
     for i, line in zip(at, lines):
         by_text[i].append(line)
     for i, own in enumerate(by_text):
         if len(texts) <= i < len(texts) + len(made):
             labels += [JUNK] * len(own)
+        elif len(texts) + len(made) <= i < len(texts) + len(made) + len(coded):
+            labels += [CODE] * len(own)
         else:
             labels += weak(own, common) if len(own) < 3000 else [None] * len(own)
     y = np.array([-1 if v is None else v for v in labels])
