@@ -28,6 +28,9 @@ from .common import side
 _WORD = re.compile(r"[^\W_]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
+#: The low bits of a class's number are a hash of its group; classes of different groups are never compared.
+_GROUP = 0xFFFF
+
 #: Rows with one band key that are compared at once; more are cut into blocks of this size.
 BLOCK = 2048
 
@@ -67,7 +70,7 @@ def _class_rows(batches: Iterator[pa.RecordBatch], k: int, least_words: int) ->
         for key, who, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             items = sequences(text, k, least_words)
             if items is not None:
-                name = xxhash.xxh3_64_intdigest(items.tobytes(), seed=1 if who == "user" else 2) - (1 << 63)
+                name = (xxhash.xxh3_64_intdigest(items.tobytes()) >> 16 << 16 | xxhash.xxh3_64_intdigest(who) & _GROUP) - (1 << 63)
                 if (own := found.get(name)) is None:
                     found[name] = [[key], items]
                 else:
@@ -79,7 +82,7 @@ def _class_rows(batches: Iterator[pa.RecordBatch], k: int, least_words: int) ->
 
 
 def text_classes(df: DataFrame, key: str, group: Column, text: str, k: int = 3, least_words: int = 40) -> DataFrame:
-    """(c, ids, items), hash-partitioned by c: classes of equal sequence sets within a group ('user' or other).
+    """(c, ids, items), hash-partitioned by c: classes of equal sequence sets within a group.
 
     Several rows of one class can remain, one for each input batch that has it. Null texts and texts with fewer than
     ``least_words`` different words have no class. Words are maximal runs of letters and digits in lower case.
@@ -114,7 +117,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, m: int,
         bits = set_sketch.pack_bits(regs)
         out_key, out_part = [], []
         for band in range(bands):
-            h = np.full(len(names), band + 1, np.uint64) * _MIX[3]
+            h = ((names & _GROUP).astype(np.uint64) * np.uint64(bands) + np.uint64(band + 1)) * _MIX[3]
             for r in range(rows):
                 h = (h ^ regs[:, band * rows + r].astype(np.uint64)) * _MIX[r % 3]
                 h ^= h >> np.uint64(31)
@@ -138,7 +141,7 @@ def _row_type(words: int) -> np.dtype:
 def _likely(row: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the index pairs that the likelihood does not rule out, the lesser first."""
     na, nb = row["n"][a].astype(np.int64), row["n"][b].astype(np.int64)
-    near = np.minimum(na, nb) >= threshold * np.maximum(na, nb)
+    near = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & ((row["c"][a] ^ row["c"][b]) & _GROUP == 0)
     a, b, na, nb = a[near], b[near], na[near], nb[near]
     same = set_sketch.bit_matches(row["bits"][a], row["bits"][b])
     ok = same >= set_sketch.least_matches(64 * row["bits"].shape[1], na, nb, threshold, sigmas)
