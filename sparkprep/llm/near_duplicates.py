@@ -89,6 +89,7 @@ def text_classes(df: DataFrame, key: str, group: Column, text: str, k: int = 3,
     """
     slim = df.select(F.col(key).cast("bigint").alias("k"), group.alias("g"), F.col(text).alias("t")).where("g is not null and t is not null and k is not null")
     rows = slim.mapInArrow(lambda b: _class_rows(b, k, least_words), "c bigint, ids binary, items binary")
+    rows = rows.where("c is not null")  # always true; the filter of later joins is then the same, and so is the exchange
     return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c")
 
 
@@ -218,17 +219,13 @@ def similar_classes(classes: DataFrame, threshold: float = 0.5, bands: int = 28,
     banded = classes.mapInArrow(lambda x: _band_rows(x, bands, rows, m, parts), "p bigint, rows binary").repartition(parts, "p")
     packed = banded.mapInArrow(lambda x: _bucket_pairs(x, words, threshold, sigmas), "slot bigint, l binary, r binary")
     likely = packed.repartition(parts, F.xxhash64("slot", "l", "r")).mapInArrow(lambda x: _block_pairs(x, words, threshold, sigmas), "a bigint, b bigint").distinct()
-    sets = classes.mapInArrow(_set_rows, "c bigint, items binary")
+    # keeps the partitioning of the classes; the filter holds on to all columns, so that the exchange is the same one
+    sets = classes.groupBy("c").agg(F.first("items").alias("items"), F.sum(F.length("ids")).alias("w")).where("w > 0")
     with_a = likely.join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(lambda x: _verified(x, threshold), "a bigint, b bigint, jaccard double")
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for names, _, items in _classes(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(items, pa.binary())], ["c", "items"])
-
-
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
