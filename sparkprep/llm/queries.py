@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, fill_rows, near_duplicates, split_long, text_stats, token_budget
+from . import answer_defects, encode, fill_rows, near_duplicates, split_long, text_stats, token_budget
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.answer_defects(table(spark, d, "messages"), _common_words(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.message_pairs(table(spark, d, "messages"))
 
@@ -61,7 +65,7 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
