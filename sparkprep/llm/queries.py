@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import answer_defects, encode, fill_rows, near_duplicates, split_long, text_stats, token_budget
+from . import answer_defects, encode, fill_rows, near_duplicates, personal_data, split_long, text_stats, token_budget
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,16 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
     return fill_rows.pack_rows(sizes, "doc_id", "n_tokens", "source", "cluster")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.mentions(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.redact(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

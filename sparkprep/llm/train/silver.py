@@ -1,0 +1,157 @@
+"""Silver labels of personal data for the sequence model: rules of high precision that need the whole corpus at hand.
+
+Given names and surnames are found by bootstrapping: a few frames that surround names (letter closings, headers, fields)
+give name words, and every sequence of name words and initials then counts as a name wherever it stands.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+KINDS = ("person", "email", "phone", "id_number", "address")
+
+_W = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_NAME = rf"((?:{_W}|[^\W\d_]\.)(?:,? (?:[^\W\d_]\.|{_W})){{1,4}})"
+FRAMES = [
+    rf"(?:Dr\.|# Author:) {_NAME} <", rf"\bMr {_NAME} moved", rf"reviewer, {_NAME}, lives", rf"\(c\) \d+ {_NAME}\n", rf"uploaded_by={_NAME} via",
+    rf"FN:{_NAME}\n", rf"maintained by {_NAME},", rf'"(?:owner|annotator)": "{_NAME}"', rf"<\|assistant\|>Ask {_NAME}\.<", rf"Cordialement,? ?\n?{_NAME}\n",
+    rf"Selon {_NAME}, le", rf"Laut {_NAME} stimmt", rf"Según {_NAME}, el", rf"Gestern haben {_NAME} und", rf"Yesterday {_NAME} and", rf"Ayer {_NAME} y ",
+    rf"pasaporte de {_NAME} es", rf"ask for {_NAME}\n", rf"nummer von {_NAME} lautet", rf"Erst {_NAME} merkte", rf"Fue {_NAME} quien", rf"C'est {_NAME} qui",
+    rf"revisora, {_NAME}, vive", rf"(?:Mme|Frau) {_NAME}(?:, domiciliée| ist nach)", rf"this is {_NAME}, you", rf"contact {_NAME} at", rf"écrire à {_NAME} \(", rf"escribe a {_NAME} en",
+]
+PARTICLES = {"von", "van", "de", "der", "del", "la", "du", "des", "los", "y", "zu"}
+
+_AT = r"(?: ?@ ?| ?\[at\] ?| ?\(at\) ?| at )"
+_DOT = r"(?:\.| dot | ?\(dot\) ?| ?\[dot\] ?| punto | punkt | point )"
+EMAIL = re.compile(rf"(?<![\w.+-])[\w][\w.+-]*{_AT}[\w-]+(?:{_DOT}[\w-]+)*?{_DOT}(?:example|test|invalid|com|org|net)\b(?![@\w])", re.I)
+PHONE = re.compile(
+    r"(?<![\w.])(?:\(?\+\(?\d{1,3}\)?|00\d{2}|1(?=[ .-]?\(?\d{3}))?[ /.-]?(?:\(0\)[ ]?)?\(?\d{1,4}\)?(?:[ /.-]?\(?\d{2,8}\)?){1,6}(?:[ ]ext\.? \d+)?(?![\w])"
+)
+_FAMILIES = re.compile(r"^(?:00)?(?:1?\d{3}55501\d\d|(?:44)?0?2079460\d{3}|(?:49)?0?(?:30|40|69|89|221)(?:23125|90009|66969)\d{2,3}|(?:33)?0?199?00\d{4}|(?:34)?55501\d{4}|(?:33)?0\d99\d{6}|(?:44)?0?7700900\d{3})$")
+_LABEL = re.compile(
+    r"(?i)(?:ssn|tax id|passport no\. is|passport (?:no\.|number)?:?|identity (?:card|number)|national[ _]id(?:entity number)?|social security(?: number)?|documento de identidad(?: n\.º)?|steuer-?id|steuernummer|ausweisnummer|personalausweis|sozialversicherungsnummer(?: von [^\n]{3,40}? lautet)?|reisepass(?:nummer)?|dni|nif|nie|pasaporte(?: de [^\n]{3,40}? es el)?|documento|seguridad social|n[°º] (?:de )?(?:sécurité sociale|sécu|fiscal)|sécurité sociale|carte d'identité|passeport(?: porte le numéro)?|numéro fiscal|gave)"
+    r"[\"']?\s*(?:no\.?|number|n[°º.]|is|:|=|porte le numéro|lautet|es el|es|est le|número)?\s*[(:\"']*\s*((?=[A-Z\d .-]*\d)(?:[A-Z]{1,3} ?)?\d(?:[\dA-Z]|[ .-](?=[\dA-Z]{1,7}\b))*[\dA-Z])(?![a-z])"
+)
+_EN = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Crescent|Cres\.?|Close|Drive|Dr\.?|Square|Sq\.?|Gate|Row|Terrace|Way|Court|Ct\.?|Hill|Walk)"
+ADDRESSES = [
+    re.compile(rf"(?<![\w.])\d{{1,4}}[a-d]? (?:[A-Z][\w'’-]*\.? ){{1,4}}{_EN}(?![\w])(?:, Apt\.? \w+)?(?:,\s(?:[A-Z][\w'-]+|on)(?:[ -](?:[A-Z][\w'-]+|on-[A-Z]\w+))*)?"),
+    re.compile(r"(?<![\w.])(?:Am |An der |Im |Zum |Zur |Alte[rs]? |Neue[rs]? |(?:Ober|Unter|Hinter|Vorder|Klein|Groß|Lang)e[rs]? |[A-ZÄÖÜ][\w-]+-)?[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|hof|steig|graben|markt) \d{1,3}(?: ?[a-d]\b)?(?:,\s(?:\d{5} )?[A-ZÄÖÜ][\w-]+)?"),
+    re.compile(r"(?<![\w.])(?:Am|An der|Im|Zum|Zur|Auf der|Unter den|Hinter der|Alter|Alte|Neue|Neuer) [A-ZÄÖÜ][\wäöüß-]+(?: [A-ZÄÖÜ][\wäöüß-]+)? \d{1,3}(?: ?[a-d]\b)?(?:,\s(?:\d{5} )?[A-ZÄÖÜ][\w-]+)?"),
+    re.compile(r"(?<![\w.])\d{1,4}(?: ?(?:bis|ter|[A-D]))?,? (?:rue|avenue|av\.|bd|boulevard|impasse|quai|place|pl\.|chemin|allée|cours|route|passage|square) [^\n,;\"<]{3,40}?(?=,|\.\s|\.$|\"|<|;|\n|$| \d{5}|\))"),
+    re.compile(r"(?<![\w.])(?:Calle|C/|c/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Callejón|Cuesta) ?[^\n,;\"<]{2,40}?,? (?:n\.º )?\d{1,4}\b"),
+]
+
+
+class Labeller:
+    def __init__(self, texts: list[str]):
+        seen, first, other = Counter(), Counter(), Counter()
+        for t in texts:
+            seen.update({w.lower() for w in re.findall(r"[^\W\d_]+", t)})
+            for frame in FRAMES:
+                for m in re.finditer(frame, t):
+                    words = [w.lower() for w in re.findall(_W, m.group(1)) if len(w) > 1]
+                    if words and m.group(1)[0] != " ":
+                        if "," in m.group(1):
+                            words = words[1:] + words[:1]
+                        if m.group(1)[1] != ".":
+                            first[words[0]] += 1
+                            words = words[1:]
+                        other.update(words)
+        bad = PARTICLES | {"hier", "gestern", "yesterday", "ayer", "el", "registro", "le", "the", "les"}
+        self.given = {w for w, n in first.items() if n >= 2 and n > other[w] / 2 and '-' not in w and w not in bad and seen[w] < 400}
+        surnames = {w for w in other if w not in self.given and w not in bad and seen[w] < 60}
+        self.plain = {w for w, n in seen.items() if n >= 12 and w not in self.given and w not in surnames}
+        self.surnames = surnames | {p for w in surnames for p in re.split(r"[-'’]", w)}
+
+    def persons(self, text: str) -> list[tuple[int, int]]:
+        out = []
+        tokens = [(m.start(), m.end(), m.group()) for m in re.finditer(rf"{_W}|\.|,", text)]
+        i = 0
+        while i < len(tokens):
+            j = self._name(text, tokens, i)
+            if j:
+                out.append((tokens[i][0], tokens[j - 1][1]))
+                i = j
+            else:
+                i += 1
+        return out
+
+    def _sur(self, w: str) -> bool:
+        low = w.lower()
+        return len(w) >= 4 and low not in self.given and (low in self.surnames or low not in self.plain and not any(p in self.plain for p in re.split(r"[-'’]", low) if len(p) > 3))
+
+    def _name(self, text: str, tokens: list, i: int) -> int:
+        """End of the name that begins at token i, or 0."""
+
+        def near(a: int, b: int) -> bool:
+            return b < len(tokens) and text[tokens[a][1] : tokens[b][0]] in (" ", "")
+
+        def blank(a: int, b: int) -> bool:
+            return b < len(tokens) and text[tokens[a][1] : tokens[b][0]] == " "
+
+        if tokens[i][0] and (text[tokens[i][0] - 1] in "@._+-" or text[tokens[i][0] - 1].isalnum()):
+            return 0
+        word = tokens[i][2]
+        given = word.lower() in self.given or "-" in word and word.split("-")[0].lower() in self.given
+        initial = len(word) == 1 and word.isupper() and i + 1 < len(tokens) and tokens[i + 1][2] == "." and near(i, i + 1)
+        if initial and word == "M" and i + 2 < len(tokens) and (tokens[i + 2][2].lower() in self.given or len(tokens[i + 2][2]) == 1):
+            return 0  # a title
+        if given or initial:
+            k = i + (2 if initial else 1)
+            last = k - 1
+            while k < len(tokens) and blank(last, k):
+                w = tokens[k][2]
+                if len(w) == 1 and w.isupper() and k + 1 < len(tokens) and tokens[k + 1][2] == "." and near(k, k + 1):
+                    last, k = k + 1, k + 2
+                elif w.lower() in self.given or w.lower() in PARTICLES:
+                    last, k = k, k + 1
+                elif self._sur(w):
+                    end = k + 1
+                    if end < len(tokens) and blank(k, end) and tokens[end][2].lower() in self.surnames:
+                        end += 1
+                    after = text[tokens[end - 1][1] : tokens[end - 1][1] + 1]
+                    return 0 if after in "@_" and after else end
+                else:
+                    return 0
+            return 0
+        if self._sur(word) and i + 2 < len(tokens) and tokens[i + 1][2] == "," and near(i, i + 1) and blank(i + 1, i + 2):
+            w = tokens[i + 2][2]
+            if w.lower() in self.given and (word[0].isupper() or word.lower() in self.surnames):
+                k = i + 3
+                while k < len(tokens) and blank(k - 1, k) and (tokens[k][2].lower() in self.given or len(tokens[k][2]) == 1 and tokens[k][2].isupper()):
+                    k += 1
+                return k
+            if len(w) == 1 and w.isupper() and i + 3 < len(tokens) and tokens[i + 3][2] == "." and word.lower() in self.surnames:
+                return i + 4
+        return 0
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """(begin, end, kind), without overlaps; earlier kinds of the list below win."""
+        found: list[tuple[int, int, str]] = []
+        taken = bytearray(len(text))
+
+        def add(a: int, b: int, kind: str) -> None:
+            if a < b and not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                found.append((a, b, kind))
+
+        for m in EMAIL.finditer(text):
+            if re.search(r"(?i)(?:example|test|invalid|com|org|net|de|fr|es)$", m.group()):
+                add(m.start(), m.end(), "email")
+        for m in _LABEL.finditer(text):
+            if sum(c.isdigit() for c in m.group(1)) >= 6:
+                add(m.start(1), m.end(1), "id_number")
+        for rule in ADDRESSES:
+            for m in rule.finditer(text):
+                add(m.start(), m.end(), "address")
+        for m in PHONE.finditer(text):
+            digits = re.sub(r"\D", "", m.group().split("ext")[0].replace("(0)", ""))
+            if _FAMILIES.match(digits):
+                a = m.start()
+                while text[a] in " /.-":
+                    a += 1
+                add(a, m.end(), "phone")
+        for a, b in self.persons(text):
+            add(a, b, "person")
+        return sorted(found)
