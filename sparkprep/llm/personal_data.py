@@ -25,7 +25,7 @@ MODEL = os.path.join(os.path.dirname(__file__), "models", "personal_data.npz")
 CONTEXT, WINDOW, OVERLAP = 40, 160, 80
 
 _WORD = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿœ]+|[A-ZÀ-ÞŒ]+(?![a-zß-ÿœ])|[^\W\d_]+")
-_CUE = re.compile(r"(?P<at>@|[(\[] ?at ?[)\]]| dot | punto | punkt | point )|(?P<n>(?:\(?\+?\d[\d ()/.\-]{5,}\d)|\b[A-Z]{1,3} ?\d[\dA-Z .\-]{4,})|(?P<house>(?<![\w.,$=/:*+-])\d{1,4}(?:[ ]?(?:bis|ter|[a-dA-D]))?,? (?:[A-ZÀ-Þ][^\W\d_]|rue|av|bd|boul|imp|quai|pl|chem|all|cours|route|pass|sq))|(?P<word>[^\W\d_]+)")
+_CUE = re.compile(r"(?P<at>@|[(\[] ?at ?[)\]]| dot | punto | punkt | point )|(?P<n>(?:\(?\+?\d[\d ()/.\-]{5,}\d)|\b[A-Z]{1,3} ?\d[\dA-Z .\-]{4,}|\b(?=[A-Z\d]*[A-Z])(?=(?:[A-Z]*\d){4})[A-Z\d]{6,}\b)|(?P<house>(?<![\w.,$=/:*+-])\d{1,4}(?:[ ]?(?:bis|ter|[a-dA-D]))?,? (?:[A-ZÀ-Þ][^\W\d_]|rue|av|bd|boul|imp|quai|pl|chem|all|cours|route|pass|sq))|(?P<word>[^\W\d_]+)")
 _BLOB = re.compile(r"[^\s@]{100,}")
 
 
@@ -115,7 +115,7 @@ class Finder:
                 found[i].append((a + begin, a + stop, kind, score * (0.3 if cut else 1.0)))
         if len(self.seen) > 200_000:
             self.seen.clear()
-        return [_checked(text, reconcile(own)) for text, own in zip(texts, found)]
+        return [_checked(text, reconcile(own), self.known) for text, own in zip(texts, found)]
 
 
 _NUMBER_CUES = re.compile(_CUE.pattern.rsplit("|(?P<word>", 1)[0])
@@ -160,13 +160,23 @@ def reconcile(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 
 _ADDRESS = re.compile(r"[\w][\w.+-]*(?: ?@ ?| ?[(\[] ?at ?[)\]] ?| at )[\w-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )[\w-]+)+", re.I)
+_TO = re.compile(r" to (?=\d)")
+_PARTICLES = frozenset(("von", "van", "de", "del", "la", "du", "le"))
+_STREETS = frozenset(("rue", "avenue", "quai", "impasse", "place", "chemin", "boulevard", "calle", "am", "an", "im", "zum"))
 _TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|Don|Doña|Señora|Señor|Mister|Monsieur|Madame|M)\.? (?=\S)")
 
 
-def _checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """Exact checks of each mention: borders at word ends, titles left out, the signs and digits that its kind must have."""
+def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]) -> list[tuple[int, int, str]]:
+    """Exact checks of each mention: borders at word ends, titles and words of the background vocabulary at its sides left
+    out, one address on either side of 'to', and the signs and digits that its kind must have."""
     out = []
+    halves = []
     for a, b, k in spans:
+        if KINDS[k] == "address" and (m := _TO.search(text, a, b)):
+            halves += [(a, m.start(), k), (m.end(), b, k)]
+        else:
+            halves.append((a, b, k))
+    for a, b, k in halves:
         kind = KINDS[k]
         while a < b and (text[a].isspace() or text[a] in ",;:|\"<>{}=" or (text[a] in "([" and kind != "phone")):
             a += 1
@@ -190,6 +200,16 @@ def _checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             if m := _TITLE.match(own):
                 a += m.end()
                 own = text[a:b]
+            while m := re.match(r"([^\W\d_]{2,}),? +(?=\S)", own):
+                if m.group(1).lower() not in known or m.group(1).lower() in _PARTICLES:
+                    break
+                a += m.end()
+                own = text[a:b]
+            while m := re.search(r"\s+([^\W\d_]{2,})$", own):
+                if m.group(1).lower() not in known:
+                    break
+                b = a + m.start()
+                own = text[a:b]
             words = re.findall(r"[^\W\d_]+", own)
             ok = len(words) >= 2 and max(map(len, words)) >= 3 and not digits and "@" not in own and "\n" not in own
         elif kind == "email":
@@ -203,6 +223,11 @@ def _checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
         elif kind == "id_number":
             ok = 5 <= digits <= 22
         else:
+            while m := re.match(r"([a-zà-ÿ]{2,}) +(?=\S)", own):
+                if m.group(1) not in known or m.group(1) in _STREETS:
+                    break
+                a += m.end()
+                own = text[a:b]
             ok = digits >= 1 and len(re.findall(r"[^\W\d_]+", own)) >= 1 and len(own) >= 6
         if ok:
             out.append((a, b, kind))
