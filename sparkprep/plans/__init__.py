@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import corpus
+    from . import corpus, models, numeric
 
-    return {**corpus.QUERIES}
+    return {**corpus.QUERIES, **numeric.QUERIES, **models.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
