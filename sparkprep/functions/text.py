@@ -15,7 +15,7 @@ PRETOKENS = (
 )
 
 #: Markers that end reasoning, in the order that breaks ties.
-THINK_END_MARKERS = ("</think>", "<|end_of_thought|>", "<|begin_of_solution|>")
+THINK_END_MARKERS = ("<|begin_of_solution|>", "</think>", "<|end_of_thought|>")
 
 
 def pretokenize(text: Column) -> Column:
