@@ -35,7 +35,7 @@ def prefix_reuse(stream: DataFrame, key: str, order: str, ids: str) -> DataFrame
         last = list(state.get[0]) if state.exists else []
         rows = []
         for _, row in pd.concat(list(frames)).sort_values(order).iterrows():
-            own = [] if row[ids] is None else list(row[ids])
+            own = [] if row[ids] is None else [x.item() if hasattr(x, "item") else x for x in row[ids]]
             n = next((i for i, (a, b) in enumerate(zip(last, own)) if a != b), min(len(last), len(own)))
             rows.append((k[0], row[order], n, len(own) - 1 if own and n >= len(own) else n))
             last = own
