@@ -11,6 +11,7 @@ import base64
 import random
 import re
 import sys
+import unicodedata
 
 import numpy as np
 
@@ -80,7 +81,10 @@ def weak(lines: list[str], common: frozenset[str]) -> list[int | None]:
         odd = sum(c in "¢£¤¥¦§¨©ª¬®¯°±²³´µ¶·¸¹º¼½¾ÂÃð€\x83�" or "" <= c <= "" or "←" <= c <= "◿" for c in solid) / max(1, len(solid))
         run = sum(m.end() - m.start() for m in re.finditer(r"(\S{1,12}?)\1{5,}", x)) / max(1, len(x))
         words_set = len(set(words[i])) / max(1, len(words[i]))
-        if _RULE.match(x) and (fields[i] or aligned[i]):
+        script = sum(ord(c) > 0x36F and unicodedata.category(c)[0] in "LM" for c in solid) / max(1, len(solid))
+        if script > 0.6 and len(set(solid)) > 8:
+            out[i] = PROSE
+        elif _RULE.match(x) and (fields[i] or aligned[i]):
             out[i] = TABLE
         elif _HEX.match(x) or (_BLOB.search(x) and not code[i] and share[i] < 0.05 and len(_BLOB.search(x).group()) > 0.6 * len(solid) and "_" not in x and "." not in x) or run > 0.6 or odd > 0.08 and delim[i][1] not in "│":
             out[i] = JUNK
@@ -102,7 +106,7 @@ def weak(lines: list[str], common: frozenset[str]) -> list[int | None]:
             out[i] = LIST
         elif bare[i]:
             out[i] = LIST
-        elif len(words[i]) >= 6 and share[i] >= 0.12 and letters > 0.8 and not code[i] and not mark[i]:
+        elif len(words[i]) >= 6 and share[i] >= 0.12 and letters > 0.8 and not code[i] and not marked[i]:
             out[i] = PROSE
         elif len(words[i]) >= 8 and letters > 0.9 and x.rstrip()[-1:] in ".?!" and sum(ord(c) > 0x2FF for c in x) > 0.5 * len(x):
             out[i] = PROSE
@@ -142,6 +146,15 @@ def made_junk(clean: list[str], rng: random.Random) -> str:
     return rng.choice(["\n", " | ", " » ", " • ", " · "]).join(picked)
 
 
+def made_script(rng: random.Random) -> str:
+    """Sentences in another script, as far as statistics of characters go."""
+    low, high = rng.choice([(0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x94D), (0xE01, 0xE3A), (0x3041, 0x3093), (0x30A1, 0x30F3), (0x4E00, 0x7000), (0xAC00, 0xB000)])
+    close = low >= 0x3041 and low < 0xAC00
+    words = ["".join(chr(rng.randint(low, high)) for _ in range(rng.randint(2, 12 if close else 8))) for _ in range(rng.randint(6, 50))]
+    words = [str(rng.randint(1, 9999)) if rng.random() < 0.08 else w for w in words]
+    return ("" if close else " ").join(w + rng.choice(["", "", "", "、" if close else ",", "。 " if close else "."]) for w in words) + ("。" if close else ".")
+
+
 def made_code(rng: random.Random) -> str:
     """Minified code or data: long lines with hardly any white space."""
 
@@ -174,10 +187,11 @@ def main(messages: str, common_words: str) -> None:
     clean = [t for _, t in plain if re.match(r"[A-ZÀ-Ý][a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+", t) and len(t) > 300]
     made = [made_junk(clean, rng) for _ in range(1500)]
     coded = [made_code(rng) for _ in range(500)]
+    foreign = [made_script(rng) for _ in range(300)]
     mixed = [rng.choice(clean)[:400] + rng.choice(["\n", "\n\n"]) + x for x in made[:400]]
-    x, size, at, lines = line_features(texts + made + coded + mixed, common)
+    x, size, at, lines = line_features(texts + made + coded + foreign + mixed, common)
     labels: list[int | None] = []
-    by_text: list[list[str]] = [[] for _ in range(len(texts) + len(made) + len(coded) + len(mixed))]
+    by_text: list[list[str]] = [[] for _ in range(len(texts) + len(made) + len(coded) + len(foreign) + len(mixed))]
     for i, line in zip(at, lines):
         by_text[i].append(line)
     for i, own in enumerate(by_text):
@@ -185,6 +199,8 @@ def main(messages: str, common_words: str) -> None:
             labels += [JUNK] * len(own)
         elif len(texts) + len(made) <= i < len(texts) + len(made) + len(coded):
             labels += [CODE] * len(own)
+        elif len(texts) + len(made) + len(coded) <= i < len(texts) + len(made) + len(coded) + len(foreign):
+            labels += [PROSE] * len(own)
         else:
             labels += weak(own, common) if len(own) < 3000 else [None] * len(own)
     y = np.array([-1 if v is None else v for v in labels])
