@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metadata as MD
+from ..operators import conversion, metadata as MD
 from .corpus import table
 
 
@@ -73,6 +73,25 @@ def config_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def inferred_config(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations back from the tensors."""
+    out = conversion.infer_config(MD.expected_tensors(MD.presets(spark)))
+    return out.select("preset", "n_layer", "width", "vocab", "q_dim", "kv_dim", "n_ff", "tied", "has_bias", "fused", "n_unmatched")
+
+
+def compatibility_report(spark: SparkSession, d: str) -> DataFrame:
+    """What hinders the conversion of the damaged tensors."""
+    report = conversion.compatibility(conversion.infer_config(_damaged(MD.expected_tensors(MD.presets(spark)))))
+    return report.select("preset", F.array_join("mechanical", ",").alias("mechanical"), F.array_join("blocking", ",").alias("blocking"))
+
+
+def file_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of each token file's header by the first key present, with overrides."""
+    kv = F.create_map(F.lit("tokenizer"), F.nullif(F.trim(F.col("tokenizer_source")), F.lit("")), F.lit("typecode"), F.col("id_typecode"))
+    files = table(spark, d, "token_files").select("file_id", F.map_filter(kv, lambda k, v: v.isNotNull()).alias("kv"))
+    return files.select("file_id", conversion.first_present(F.col("kv"), "tokenizer", "typecode").alias("first"), F.coalesce(conversion.first_present(F.col("kv"), "typecode"), F.lit("H")).alias("typecode"))
+
+
 def _values(rows: tuple, names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::BIGINT" for x in r) + ")" for r in rows) + f") t({names})"
 
@@ -114,5 +133,10 @@ QUERIES = {
     "vocab_densify": (vocab_densify, """WITH v AS (SELECT file_id::BIGINT AS id, CASE WHEN file_id % 5 = 0 THEN '<|t' || file_id || '|>' ELSE 't' || file_id END AS token FROM token_files WHERE file_id % 3 <> 1),
         i AS (SELECT unnest(range(0, (SELECT max(file_id) + 1 FROM token_files))) AS id)
         SELECT i.id, coalesce(token, '[UNUSED' || i.id || ']') AS token, CASE WHEN token IS NULL THEN 'UNUSED' WHEN token LIKE '<|%' THEN 'CONTROL' ELSE 'NORMAL' END AS kind FROM i LEFT JOIN v ON v.id = i.id"""),
+    "inferred_config": (inferred_config, f"WITH {_P} SELECT preset, layers AS n_layer, width, vocab, heads * head_dim AS q_dim, kv_heads * head_dim AS kv_dim, ff AS n_ff, true AS tied, false AS has_bias, false AS fused, 0::BIGINT AS n_unmatched FROM presets"),
+    "compatibility_report": (compatibility_report, f"""WITH {_D}, {_classified("damaged")}, c AS (SELECT preset, role, ne1, count(*) AS n, min(layer) AS f FROM classified WHERE role IN ('attn_q', 'attn_k') GROUP BY ALL),
+        v AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY preset, role ORDER BY n DESC, f) = 1), g AS (SELECT preset, max(ne1) FILTER (role = 'attn_q') AS q, max(ne1) FILTER (role = 'attn_k') AS k FROM v GROUP BY preset)
+        SELECT preset, '' AS mechanical, CASE WHEN q % k <> 0 THEN 'unmatched,groups' ELSE 'unmatched' END AS blocking FROM g"""),
+    "file_defaults": (file_defaults, "SELECT file_id, coalesce(nullif(trim(tokenizer_source), ''), id_typecode) AS first, coalesce(id_typecode, 'H') AS typecode FROM token_files"),
     "config_checks": (config_checks, f"""WITH {_P} SELECT preset, heads * head_dim AS q_dim, kv_heads * head_dim AS kv_dim, heads % kv_heads = 0 AS groups_ok, head_dim % 2 = 0 AS rope_ok, 4096::BIGINT AS kv_window, 2 + layers * 9 AS n_tensors FROM presets"""),
 }

@@ -137,3 +137,28 @@ def test_metadata(spark):
     names = spark.createDataFrame([("lm_head.weight",), ("xlm_head.weight",), ("blk.3.attn_q.weight",), ("blk.3.attn_q.weightx",)], "name string")
     got = {r.name: (r.role, r.layer) for r in MD.classify(names).collect()}
     assert got == {"lm_head.weight": ("output", None), "xlm_head.weight": ("other", None), "blk.3.attn_q.weight": ("attn_q", 3), "blk.3.attn_q.weightx": ("other", None)}
+
+
+def test_conversion():
+    import numpy as np
+
+    from sparkprep.operators import conversion
+
+    m = np.arange(12.0).reshape(6, 2)
+    assert [len(x) for x in conversion.split_rows(m, [3, 2, 1])] == [3, 2, 1]
+    with pytest.raises(ValueError):
+        conversion.split_rows(m, [3, 2])
+    assert (conversion.low_rank_update(np.zeros((2, 2)), np.ones((1, 2)), np.ones((2, 1)), 3.0) == 3).all()
+
+
+def test_overrides_and_registration(spark):
+    from sparkprep import api
+    from sparkprep.operators import conversion
+
+    df = spark.createDataFrame([("a", 5, None)], "preset string, n_ff bigint, rope_base double")
+    row = conversion.with_overrides(df, n_ff=7).first()
+    assert (row.n_ff, row.rope_base, row.norm_eps) == (7, 10000.0, 1e-5)
+    api.register(spark, "/opt/tokenizers/byte_bpe_50k.json")
+    assert spark.sql("SELECT bpe_decode(bpe_encode('héllo <x>')) AS t").first().t == "héllo <x>"
+    assert spark.sql("SELECT * FROM chunk_tokens('a b c d e', 2, 1)").count() == 3
+    assert spark.sql("SELECT dequantize(X'0000803F', 0) AS v").first().v == [1.0]
