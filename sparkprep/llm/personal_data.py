@@ -25,7 +25,13 @@ MODEL = os.path.join(os.path.dirname(__file__), "models", "personal_data.npz")
 CONTEXT, WINDOW, OVERLAP = 40, 160, 80
 
 _WORD = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿœ]+|[A-ZÀ-ÞŒ]+(?![a-zß-ÿœ])|[^\W\d_]+")
-_CUE = re.compile(r"(?P<at>@|[(\[] ?at ?[)\]]| dot | punto | punkt | point )|(?P<n>(?:\(?\+?\d[\d ()/.\-]{5,}\d)|\b[A-Z]{1,3} ?\d[\dA-Z .\-]{4,}|\b(?=[A-Z\d]*[A-Z])(?=(?:[A-Z]*\d){4})[A-Z\d]{6,}\b)|(?P<house>(?<![\w.,$=/:*+-])\d{1,4}(?:[ ]?(?:bis|ter|[a-dA-D]))?,? (?:[A-ZÀ-Þ][^\W\d_]|rue|av|bd|boul|imp|quai|pl|chem|all|cours|route|pass|sq))|(?P<word>[^\W\d_]+)")
+_LONG_WORD = re.compile(r"[A-ZÀ-Þ][a-zß-ÿœ]{2,}|[a-zß-ÿœ]{3,}|[A-ZÀ-ÞŒ]{3,}(?![a-zß-ÿœ])|[^\W\d_a-zA-ZÀ-ÿŒœ]{3,}")
+#: Cues beside words. Each pattern begins with a set of characters, which the regular expression engine skips to fast.
+_AT_SIGN = re.compile(r"@|[(\[] ?at ?[)\]]| dot | punto | punkt | point ")
+_NUMBER = re.compile(r"\d[\d ()/.\-]{5,}\d")
+_LETTERED = re.compile(r"[A-Z]{1,3} ?\d[\dA-Z .\-]{4,}|[A-Z\d]{6,}")
+_HOUSE = re.compile(r"\d{1,4}(?: ?(?:bis|ter|[a-dA-D]))?,? (?:[A-ZÀ-Þ][^\W\d_]|rue|av|bd|boul|imp|quai|pl|chem|all|cours|route|pass|sq)")
+_OBFUSCATED = ("@", "at)", "at]", "at )", "at ]", " dot ", " punto ", " punkt ", " point ")
 _BLOB = re.compile(r"[^\s@]{100,}")
 
 
@@ -36,25 +42,39 @@ class Finder:
             self.model = Tagger({k: f[k] for k in f.files if k != "words"})
         self.seen: dict[str, list[tuple[int, int, int, float]]] = {}
 
-    def flags_and_cues(self, text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """(0 no word, 1 known, 2 unknown word) of each character, and the places of the cues."""
-        flags = np.zeros(len(text), np.int8)
-        cues: list[tuple[int, int]] = []
+    def cues(self, text: str) -> list[tuple[int, int]]:
+        """Places of words outside the background vocabulary and of signs and digits that could be part of a mention."""
         known = self.known
-        for m in _WORD.finditer(text):
+        strange = {w for w in set(_LONG_WORD.findall(text)) if w.lower() not in known}
+        found = [m.span() for m in _LONG_WORD.finditer(text) if m.group() in strange] if strange else []
+        if any(x in text for x in _OBFUSCATED):
+            found += [m.span() for m in _AT_SIGN.finditer(text)]
+        found += [m.span() for m in _NUMBER.finditer(text)]
+        for m in _LETTERED.finditer(text):
+            a, own = m.start(), m.group()
+            if sum(map(str.isdigit, own)) >= 4 and not own.isdigit() and not (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+                found.append(m.span())
+        for m in _HOUSE.finditer(text):
+            a = m.start()
+            if not a or not (text[a - 1].isalnum() or text[a - 1] in "_.,$=/:*+-"):
+                found.append(m.span())
+        return found
+
+    def flags(self, text: str, begin: int, end: int) -> np.ndarray:
+        """0 no word, 1 known, 2 unknown word, for the characters from begin to end; words are those of the whole text."""
+        while begin and text[begin].isalpha() and text[begin - 1].isalpha():
+            begin -= 1
+        out = np.zeros(end - begin, np.int8)
+        for m in _WORD.finditer(text, begin, min(len(text), end + 60)):
             a, b = m.span()
-            if b - a > 1:
-                if m.group().lower() in known:
-                    flags[a:b] = 1
-                else:
-                    flags[a:b] = 2
-                    if b - a > 2:
-                        cues.append((a, b))
-            else:
-                flags[a:b] = 1
-        for m in _NUMBER_CUES.finditer(text):
-            cues.append(m.span())
-        return flags, cues
+            if a >= end:
+                break
+            out[a - begin : b - begin] = 1 if b - a == 1 or m.group().lower() in self.known else 2
+        return out
+
+    def symbols(self, text: str, begin: int, end: int) -> np.ndarray:
+        """Input symbols of the model: character class and word flag."""
+        return char_classes(text[begin:end]).astype(np.int32) * 3 + self.flags(text, begin, end)[-(end - begin) :]
 
     def regions(self, text: str, cues: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Merged surroundings of the cues, to whole words; unbroken blobs without an at-sign have none."""
@@ -78,16 +98,12 @@ class Finder:
         windows: list[tuple[int, int, int]] = []
         symbols: list[np.ndarray] = []
         for i, text in enumerate(texts):
-            flags, cues = self.flags_and_cues(text)
-            spots = self.regions(text, cues)
-            if not spots:
-                continue
-            x = char_classes(text).astype(np.int32) * 3 + flags
-            for a, b in spots:
+            for first, b in self.regions(text, self.cues(text)):
+                x, a = self.symbols(text, first, b), first
                 while True:
                     end = min(b, a + WINDOW)
                     windows.append((i, a, end))
-                    symbols.append(x[a:end])
+                    symbols.append(x[a - first : end - first])
                     if end == b:
                         break
                     a = end - OVERLAP
@@ -118,9 +134,6 @@ class Finder:
         return [_checked(text, reconcile(own), self.known) for text, own in zip(texts, found)]
 
 
-_NUMBER_CUES = re.compile(_CUE.pattern.rsplit("|(?P<word>", 1)[0])
-
-
 def _spans(tags: np.ndarray, margin: np.ndarray, n: int) -> list[tuple[int, int, int, float]]:
     out, at = [], 0
     while at < n:

@@ -12,7 +12,7 @@ import sys
 import numpy as np
 
 from ..personal_data import MODEL, OVERLAP, WINDOW, Finder
-from ..tagger import KINDS, Tagger, char_classes, train
+from ..tagger import KINDS, Tagger, train
 from .silver import Labeller
 
 BOUND = 20_000
@@ -42,13 +42,12 @@ def main(documents: str, epochs: int = 10, hidden: int = 24) -> None:
 
     def lay(t: str, spans: list[tuple[int, int, str]]) -> tuple[int, int]:
         """Adds the windows of a text; characters in windows, and spans inside of them."""
-        flags, cues = finder.flags_and_cues(t)
-        x = char_classes(t).astype(np.int32) * 3 + flags
+        x = finder.symbols(t, 0, len(t))
         y = np.zeros(len(t), np.int8)
         for a, b, kind in spans:
             y[a:b] = 2 + 2 * KINDS.index(kind)
             y[a] -= 1
-        regions = finder.regions(t, cues)
+        regions = finder.regions(t, finder.cues(t))
         for a, b in regions:
             while True:
                 end = min(b, a + WINDOW)
