@@ -174,6 +174,9 @@ def reconcile(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 _ADDRESS = re.compile(r"[\w][\w.+-]*(?: ?@ ?| ?[(\[] ?at ?[)\]] ?| at )[\w-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )[\w-]+)+", re.I)
 _TO = re.compile(r" to (?=\d)")
+#: Words that open a sentence before names.
+_BEFORE_NAMES = frozenset(("hier", "gestern", "haben", "yesterday", "ayer", "selon", "laut", "según", "erst"))
+_INNER_TITLE = re.compile(r"\s(?:Mr|Mrs|Ms|Dr|Mme|Frau|Herr|Don|Doña)\.? (?=[^\W\d_])")
 _PARTICLES = frozenset(("von", "van", "de", "del", "la", "du", "le"))
 _STREETS = frozenset(("rue", "avenue", "quai", "impasse", "place", "chemin", "boulevard", "calle", "am", "an", "im", "zum"))
 _TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|Don|Doña|Señora|Señor|Mister|Monsieur|Madame|M)\.? (?=\S)")
@@ -213,13 +216,19 @@ def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]
             if m := _TITLE.match(own):
                 a += m.end()
                 own = text[a:b]
+            if m := _INNER_TITLE.search(own):
+                halves.append((a + m.end(), b, k))
+                b = a + m.start()
+                own = text[a:b]
+            mixed = any(w[:1].isupper() for w in own.split())
             while m := re.match(r"([^\W\d_]{2,}),? +(?=\S)", own):
-                if m.group(1).lower() not in known or m.group(1).lower() in _PARTICLES:
+                word = m.group(1).lower()
+                if word in _PARTICLES or not (word in known or word in _BEFORE_NAMES or mixed and m.group(1).islower()):
                     break
                 a += m.end()
                 own = text[a:b]
             while m := re.search(r"\s+([^\W\d_]{2,})$", own):
-                if m.group(1).lower() not in known:
+                if m.group(1).lower() not in known and not (mixed and m.group(1).islower()):
                     break
                 b = a + m.start()
                 own = text[a:b]
@@ -244,7 +253,7 @@ def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]
             ok = digits >= 1 and len(re.findall(r"[^\W\d_]+", own)) >= 1 and len(own) >= 6
         if ok:
             out.append((a, b, kind))
-    return out
+    return sorted(out)
 
 
 _LOADED: dict[str, Finder] = {}
