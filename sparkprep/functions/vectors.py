@@ -19,6 +19,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row; inside a lambda over elements it would be computed for each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -30,7 +35,7 @@ def axpy(weight: Column, v: Column, out: Column) -> Column:
 
 def rms_norm(v: Column, weight: Column | None = None, eps: float = 1e-5) -> Column:
     scale = F.sqrt(dot(v, v) / F.size(v) + eps)
-    return F.transform(v, lambda x: x / scale) if weight is None else F.zip_with(v, weight, lambda x, w: x / scale * w)
+    return let(scale, lambda s: F.transform(v, lambda x: x / s) if weight is None else F.zip_with(v, weight, lambda x, w: x / s * w))
 
 
 def silu(x: Column) -> Column:
@@ -42,10 +47,8 @@ def swiglu(gate: Column, up: Column) -> Column:
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - top) / temperature))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    powers = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / temperature)))
+    return let(powers, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def rope(v: Column, position: Column, base: float = 10000.0, scale: float = 1.0, dim: int = 64) -> Column:
@@ -68,14 +71,14 @@ def q8_scales(v: Column, block: int = 32) -> Column:
 
 def q8_quants(v: Column, block: int = 32) -> Column:
     """Rounded (half away from zero) and clamped quotients by the block's scale; 0 where the scale is 0."""
-    scales = q8_scales(v, block)
-    n = F.size(scales) * block
+    def quotients(scales: Column) -> Column:
+        def quotient(x: Column, i: Column) -> Column:
+            d = F.get(scales, F.floor(i / block).cast("int"))
+            return F.when(d == 0, F.lit(0)).otherwise(F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / d).cast("int"))))
 
-    def quotient(x: Column, i: Column) -> Column:
-        d = F.get(scales, F.floor(i / block).cast("int"))
-        return F.when(d == 0, F.lit(0)).otherwise(F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / d).cast("int"))))
+        return F.transform(F.slice(v, 1, F.size(scales) * block), quotient)
 
-    return F.transform(F.slice(v, 1, n), quotient)
+    return let(q8_scales(v, block), quotients)
 
 
 def argmax(v: Column) -> Column:
@@ -110,8 +113,7 @@ def draw(ids: Column, probabilities: Column, u: Column) -> Column:
 
 
 def cross_entropy(logits: Column, target: Column, smoothing: float = 0.0) -> Column:
-    top = F.array_max(logits)
-    lse = top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
+    lse = let(F.array_max(logits), lambda top: top + F.log(total(F.transform(logits, lambda x: F.exp(x - top)))))
     nll = lse - F.get(logits, target)
     return nll if not smoothing else (1 - smoothing) * nll + smoothing * (lse - total(logits) / F.size(logits))
 
