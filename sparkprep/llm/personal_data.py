@@ -129,7 +129,7 @@ class Finder:
                 # a span cut by the window's side is worth less than the same one seen whole
                 cut = (begin == 0 and a > 0) or (stop == end - a and end < len(texts[i]))
                 found[i].append((a + begin, a + stop, kind, score * (0.3 if cut else 1.0)))
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 60_000:
             self.seen.clear()
         return [_checked(text, reconcile(own), self.known) for text, own in zip(texts, found)]
 
