@@ -14,7 +14,7 @@ from ..operators import messages as M, metadata as MD
 from ..session import local_path, run_to_end, work_folder
 from ..sources import containers, jsonl, tokbin
 from ..streaming import stateful
-from .corpus import _CUT, _NORMAL, _normal, sql_pretokens, table
+from .corpus import _NORMAL, _normal, sql_pretokens, table
 from .numeric import _E, _vectors
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -108,6 +108,27 @@ def jsonl_status(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("messages").cast("bigint")), F.lit(0)).alias("n_messages"))
 
 
+def payload_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Requests made of user messages: as an object with a prompt, as one with messages, and as plain text."""
+    c, kind = F.col("content"), F.col("msg_id") % 3
+    as_prompt = F.to_json(F.struct(c.alias("prompt")))
+    as_messages = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), c.alias("content")), F.struct(F.lit("tool").alias("role"), F.lit("x").alias("content"))).alias("messages")))
+    plain = F.concat(F.lit("> "), c)
+    payload = F.when(kind == 0, as_prompt).when(kind == 1, as_messages).otherwise(plain)
+    return _normal(spark, d).where("role = 'user'").select("msg_id", F.md5(jsonl.payload_prompt(payload)).alias("prompt_md5"))
+
+
+def byte_alphabet(spark: SparkSession, d: str) -> DataFrame:
+    """The character that stands for each byte in byte-level vocabularies."""
+    return spark.createDataFrame([(b, ord(c)) for b, c in bpe.byte_alphabet().items()], "byte int, code_point int")
+
+
+def source_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """A nested JSON card for each source; missing values stay as null."""
+    card = F.to_json(F.struct(F.struct("source_id", "source_name").alias("source"), F.struct(F.col("domain"), F.col("token_target").alias("budget")).alias("mix")), {"ignoreNullFields": "false"})
+    return table(spark, d, "sources").select("source_id", card.alias("manifest"))
+
+
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     # a pattern, as a stream takes a plain path for a folder and the table may be one file
     return spark.readStream.schema(spark.read.parquet(f"{d}/{name}.parquet").schema).parquet(f"{d}/{name}.parque[t]")
@@ -166,6 +187,11 @@ def _catalogue() -> dict:
         "q4_fused_dot": (q4_fused_dot, "SELECT vec_id, true AS agrees FROM embeddings"),
         "jsonl_status": (jsonl_status, f"""WITH {_NORMAL}, n AS (SELECT c.conv_id, count(normal.msg_id) AS k FROM (SELECT DISTINCT conv_id FROM messages) c LEFT JOIN normal ON normal.conv_id = c.conv_id GROUP BY c.conv_id)
             SELECT CASE WHEN k > 0 THEN 'ok' ELSE 'empty' END AS status, count(*)::BIGINT AS n, sum(k)::BIGINT AS n_messages FROM n GROUP BY 1"""),
+        "payload_prompts": (payload_prompts, f"""WITH {_NORMAL} SELECT msg_id, md5(CASE msg_id % 3 WHEN 0 THEN content WHEN 1 THEN '<|user|>' || content || '<|end|><|assistant|>' ELSE '> ' || content END) AS prompt_md5
+            FROM normal WHERE role = 'user'"""),
+        "byte_alphabet": (byte_alphabet, """WITH b AS (SELECT unnest(range(256))::INT AS byte), k AS (SELECT byte, byte BETWEEN 33 AND 126 OR byte BETWEEN 161 AND 172 OR byte BETWEEN 174 AND 255 AS shown FROM b)
+            SELECT byte, (CASE WHEN shown THEN byte ELSE 255 + row_number() OVER (PARTITION BY shown ORDER BY byte) END)::INT AS code_point FROM k"""),
+        "source_manifests": (source_manifests, "SELECT source_id, json_object('source', json_object('source_id', source_id, 'source_name', source_name), 'mix', json_object('domain', domain, 'budget', token_target))::VARCHAR AS manifest FROM sources"),
         "stream_prefix_reuse": (stream_prefix_reuse, corpus["longest_common_prefix"][1].replace("WHERE before IS NOT NULL", "").replace("coalesce(list_min", "CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_min").replace("+ 1) - 1 AS matched", "+ 1) - 1 END AS matched")),
         "stream_context_windows": (stream_context_windows, f"WITH RECURSIVE {_WINDOWS} SELECT msg_id, evicted, length FROM f"),
         "stream_event_windows": (stream_event_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
