@@ -157,10 +157,13 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events of a stream by day and type, with a watermark of 40 days for late ones."""
     s = _stream(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "40 days")
     counts = s.groupBy(F.window("at", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    name = f"windows_{work_folder(spark, 'w')[-12:]}"
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    folder = work_folder(spark, "days")
+    query = (
+        counts.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(folder)).option("checkpointLocation", f"{folder}-state")
+        .outputMode("complete").trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+    return spark.read.parquet(folder).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
 _WINDOWS = f"""m AS (SELECT DISTINCT msg_id, conv_id, turn, content FROM messages WHERE content IS NOT NULL), c AS (SELECT msg_id, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, msg_id) AS rn, len({sql_pretokens("content")})::BIGINT AS n FROM m),
