@@ -8,7 +8,8 @@ Plan (no cross join, nothing unbounded in one row, task or on the driver):
 3. each class sends a row to each of its bands: band key, class, one bit of each register, size. A row moves 28 bytes;
 4. rows with one key are compared by bits and sizes in vectors; keys with very many classes are cut into blocks whose
    pairs are spread over all tasks;
-5. the pairs left are joined with the sequence hashes of step 2 (the same exchange) and verified exactly.
+5. the pairs left are joined with the sequence hashes of step 2 (the same exchange) and verified exactly;
+6. for groups, the components of the classes are contracted in rounds, and messages follow by their class.
 """
 
 from __future__ import annotations
@@ -267,6 +268,64 @@ def near_duplicate_pairs(df: DataFrame, key: str, group: Column, text: str, k: i
     return across.unionByName(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back, so that rounds do not grow the plan."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) for each end v of the edges (a, b): the least end that can be reached from it.
+
+    Large and small stars in turn (Kiveris et al.): each end hangs its greater neighbours, then its lesser ones and itself,
+    below the least of them, until nothing changes. The driver gets two counts a round.
+    """
+    now = _kept(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v > u").distinct())
+    while True:
+        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("u"), F.least("v", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u")
+        new = _kept(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        # rounds are done when every end hangs below one root, and no root below another
+        if new.count() == new.select("v").distinct().count() and new.join(new.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            return new.select("v", F.col("u").alias("root")).unionByName(new.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
+        now = new
+
+
+def _class_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if ids:
+            names = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in ids])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(ids))], ["c", "k"])
+
+
+def near_duplicate_groups(df: DataFrame, key: str, group: Column, text: str, k: int = 3, least_words: int = 40, threshold: float = 0.5) -> DataFrame:
+    """(k, group_id, n_links): for each key with a partner the least key of its group, and the number of its partners.
+
+    A group holds all keys that are linked by pairs of ``near_duplicate_pairs``, directly or through others. Components are
+    those of the classes, and keys follow by membership, so that copies cost one row each, whatever the group's size.
+    """
+    rows = text_classes(df, key, group, text, k, least_words)
+    edges = _kept(similar_classes(rows, threshold).select("a", "b"))
+    members = _kept(rows.select("c", "ids").mapInArrow(_class_members, "c bigint, k bigint").distinct())
+    classes = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(classes.select(F.col("c").alias("b"), "n"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("beside"))
+    roots = components(edges).withColumnRenamed("v", "c")
+    linked = classes.join(beside, "c", "left").join(roots, "c", "left").where("n > 1 or root is not null")
+    linked = linked.select("c", "first", F.coalesce("root", "c").alias("root"), (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("group_id")), "root")
+    return members.join(named, "c").select("k", "group_id", "n_links")
+
+
+def message_groups(messages: DataFrame) -> DataFrame:
+    """(msg_id, group_id, n_links) of the messages with near-duplicates; group_id is the least msg_id of the group."""
+    groups = near_duplicate_groups(messages, "msg_id", side(F.col("role")), "content")
+    return groups.withColumnRenamed("k", "msg_id")
+
+
 def message_pairs(messages: DataFrame) -> DataFrame:
     """(msg_id_a, msg_id_b) of near-duplicate messages, both by users or both by assistants."""
     pairs = near_duplicate_pairs(messages, "msg_id", side(F.col("role")), "content")

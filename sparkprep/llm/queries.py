@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.message_pairs(table(spark, d, "messages"))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.message_groups(table(spark, d, "messages"))
+
+
 def _common_words(spark: SparkSession, d: str) -> frozenset[str]:
     """The frequent words, a table of fixed size (25 for each language)."""
     return frozenset(w for (w,) in table(spark, d, "common_words").select("word").distinct().collect() if w)
@@ -73,7 +77,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -98,6 +98,46 @@ def test_large_groups_and_buckets_lose_no_link(spark, monkeypatch):
     assert {(0, i) for i in range(1, 30)} <= star and {(0, 100 + i) for i in range(20)} <= star and len(star) == 29 + 20 + 190
 
 
+def _joined(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(100, 160)] + [(170, i) for i in range(171, 190)]
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(b, a) for a, b in chain]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = near_duplicates.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {(r.v, r.root) for r in got} == set(_joined(edges).items()) and len(got) == len({r.v for r in got})
+    assert near_duplicates.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_groups_are_those_of_the_pairs(spark):
+    rng, table = random.Random(5), []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for step in range(8):  # each text is near the one before, the last one not near the first
+            table += [(rng.randrange(1 << 40), "user", " ".join(words)) for _ in range(1 + g % 3)]
+            words = [*words[9:], *(f"g{g}s{step}n{i}" for i in range(9))]
+    table += [(1, "assistant", table[0][2]), (2, "user", " ".join(f"lone{i}" for i in range(60))), (3, "user", None)]
+    df = spark.createDataFrame(table + table[:5], "k bigint, g string, t string")
+    pairs = {(r.a, r.b) for r in near_duplicates.near_duplicate_pairs(df, "k", F.col("g"), "t").collect()}
+    want, links = _joined(pairs), [x for p in pairs for x in p]
+    got = near_duplicates.near_duplicate_groups(df, "k", F.col("g"), "t").collect()
+    assert {(r.k, r.group_id, r.n_links) for r in got} == {(x, g, links.count(x)) for x, g in want.items()} and len(got) == len(want)
+    assert near_duplicates.near_duplicate_groups(df.limit(0), "k", F.col("g"), "t").count() == 0
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (rng.choice(1 << 32, 900, replace=False).astype(np.uint32) for _ in range(2))
