@@ -35,6 +35,10 @@ _GROUP = 0xFFFF
 #: Rows with one band key that are compared at once; more are cut into blocks of this size.
 BLOCK = 2048
 
+#: Keys of a class in one row, the pairs of two rows being expanded together; rows in one batch.
+MEMBERS, _AT_ONCE = 256, 1000
+_KEYS = pa.list_(pa.int64())
+
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
@@ -242,30 +246,61 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j)], ["a", "b", "jaccard"])
 
 
-def _member_rows(batches: Iterator[pa.RecordBatch], expanded: int) -> Iterator[pa.RecordBatch]:
+def _member_rows(batches: Iterator[pa.RecordBatch], expanded: int | None) -> Iterator[pa.RecordBatch]:
+    """(c, ids): the members that are linked to other classes, in blocks."""
+    cs, blocks = [], []
     for names, ids, _ in _classes(batches):
-        lists = [np.unique(np.frombuffer(x, np.int64)) for x in ids]
-        columns = [pa.array(names), pa.array([int(x[0]) for x in lists]), pa.array([len(x) for x in lists]), pa.array([(x if len(x) <= expanded else x[:1]).tolist() for x in lists], pa.list_(pa.int64())), pa.array([x.tolist() if len(x) > 1 else None for x in lists], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["c", "first", "n", "shown", "copies"])
+        for c, x in zip(names.tolist(), ids):
+            own = np.unique(np.frombuffer(x, np.int64))
+            own = own if expanded is None or len(own) <= expanded else own[:1]
+            for s in range(0, len(own), MEMBERS):
+                cs.append(c)
+                blocks.append(own[s : s + MEMBERS].tolist())
+                if len(cs) == _AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(blocks, _KEYS)], ["c", "ids"])
+                    cs, blocks = [], []
+    if cs:
+        yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(blocks, _KEYS)], ["c", "ids"])
+
+
+def _copy_rows(batches: Iterator[pa.RecordBatch], expanded: int | None) -> Iterator[pa.RecordBatch]:
+    """(x, y): blocks of members of one class, whose keys p of x and q of y with p > q are pairs."""
+    left, right = [], []
+    for _, ids, _ in _classes(batches):
+        for own in (np.unique(np.frombuffer(x, np.int64)) for x in ids):
+            if len(own) > 1:
+                blocks = [own[a : a + MEMBERS].tolist() for a in range(0, len(own), MEMBERS)]
+                for i, x in enumerate(blocks):
+                    for y in blocks[: i + 1] if expanded is None or len(own) <= expanded else [own[:1].tolist()]:
+                        left.append(x)
+                        right.append(y)
+                        if len(left) == _AT_ONCE:
+                            yield pa.RecordBatch.from_arrays([pa.array(left, _KEYS), pa.array(right, _KEYS)], ["x", "y"])
+                            left, right = [], []
+    if left:
+        yield pa.RecordBatch.from_arrays([pa.array(left, _KEYS), pa.array(right, _KEYS)], ["x", "y"])
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, group: Column, text: str, k: int = 3, least_words: int = 40, threshold: float = 0.5, expanded: int = 256) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str, group: Column, text: str, k: int = 3, least_words: int = 40, threshold: float = 0.5, expanded: int | None = None) -> DataFrame:
     """(a, b), a < b: keys of the rows whose sets of k-word sequences are at least as similar as ``threshold``.
 
-    Rows with equal sets form a group of copies. Groups of up to ``expanded`` rows come out with all their pairs, within
-    and to other groups; of a larger group each row is linked to the group's first, and that one to other groups, so no
-    link between different texts is lost. A key that comes repeatedly with one text counts once. Rows with a null key,
-    text or group, and texts with fewer than ``least_words`` different words, have no partners.
+    All pairs come out, those of equal sets included: n copies make n * (n - 1) / 2 rows. They are expanded from blocks of
+    ``MEMBERS`` keys that are spread over all tasks. Only where a caller gives ``expanded``, of a class of more than
+    so many rows each row is linked to the class's first, and that one to other classes. A key that comes repeatedly
+    with one text counts once. Rows with a null key, text or group, and texts with fewer than ``least_words`` different
+    words, have no partners.
     """
     classes = text_classes(df, key, group, text, k, least_words)
-    members = classes.mapInArrow(lambda b: _member_rows(b, expanded), "c bigint, first bigint, n bigint, shown array<bigint>, copies array<bigint>")
+    members = classes.mapInArrow(lambda b: _member_rows(b, expanded), "c bigint, ids array<bigint>")
+    copies = classes.mapInArrow(lambda b: _copy_rows(b, expanded), "x array<bigint>, y array<bigint>").withColumn("inside", F.lit(True))
     pairs = similar_classes(classes, threshold).select("a", "b")
-    one = members.select(F.col("c").alias("a"), F.col("shown").alias("x"))
-    two = members.select(F.col("c").alias("b"), F.col("shown").alias("y"))
-    across = pairs.join(one, "a").join(two, "b").select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q"))
-    copied = members.where("n > 1").select("first", F.explode("copies").alias("p"), F.when(F.col("n") <= expanded, F.col("copies")).otherwise(F.array("first")).alias("y"))
-    inside = copied.select("p", F.explode("y").alias("q")).where("p > q")
-    return across.unionByName(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    one = members.select(F.col("c").alias("a"), F.col("ids").alias("x"))
+    two = members.select(F.col("c").alias("b"), F.col("ids").alias("y"))
+    blocks = pairs.join(one, "a").join(two, "b").select("x", "y").withColumn("inside", F.lit(False)).unionByName(copies)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(parts, F.xxhash64(F.col("x")[0], F.col("y")[0]))
+    out = blocks.select(F.explode("x").alias("p"), "y", "inside").select("p", F.explode("y").alias("q"), "inside").where("not inside or p > q")
+    return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _kept(df: DataFrame) -> DataFrame:

@@ -98,6 +98,17 @@ def test_large_groups_and_buckets_lose_no_link(spark, monkeypatch):
     assert {(0, i) for i in range(1, 30)} <= star and {(0, 100 + i) for i in range(20)} <= star and len(star) == 29 + 20 + 190
 
 
+def test_every_pair_of_a_class_over_256_members(spark):
+    words = [f"w{i}" for i in range(80)]
+    many = [(3 * i, "user", ("; " if i % 2 else " ").join(words)) for i in range(600)]  # equal sequences, two raw texts
+    df = spark.createDataFrame([*many, (1, "user", " ".join([*words, "x"])), (2, "assistant", " ".join(words))], "k bigint, g string, t string")
+    pairs = [(r.a, r.b) for r in near_duplicates.near_duplicate_pairs(df, "k", F.col("g"), "t").collect()]
+    keys = sorted([1, *(k for k, _, _ in many)])
+    assert sorted(pairs) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+    messages = df.select(F.col("k").alias("msg_id"), F.col("g").alias("role"), F.col("t").alias("content"))
+    assert near_duplicates.message_pairs(messages).count() == len(pairs)
+
+
 def _joined(pairs):
     root = {}
 
