@@ -1,7 +1,7 @@
 """Problem 8: personal data inside free text, found by a BiLSTM-CRF over characters and replaced by typed placeholders.
 
 Decoding every character of a corpus would cost far more than reading it, so windows are laid around *cues*: words outside
-the background vocabulary, digits that could make a number, house numbers, and at-signs in any spelling. The cues are wide
+the background vocabulary, capitalised words in a row, digits that could make a number, house numbers, and at-signs in any spelling. The cues are wide
 (every kind has one by its definition); what they are is decided by the model alone. Overlapping windows of a long cue
 region are decoded together and reconciled over the whole text.
 """
@@ -31,6 +31,13 @@ _AT_SIGN = re.compile(r"@|[(\[] ?at ?[)\]]| dot | punto | punkt | point ")
 _NUMBER = re.compile(r"\d[\d ()/.\-]{5,}\d")
 _LETTERED = re.compile(r"[A-Z]{1,3} ?\d[\dA-Z .\-]{4,}|[A-Z\d]{6,}")
 _HOUSE = re.compile(r"\d{1,4}(?: ?(?:bis|ter|[a-dA-D]))?,? (?:[A-ZÀ-Þ][^\W\d_]|rue|av|bd|boul|imp|quai|pl|chem|all|cours|route|pass|sq)")
+_CAPITALS = re.compile(r"[A-ZÀ-ÞŒ][^\W\d_]+(?:[ -][A-ZÀ-ÞŒ][^\W\d_]+)+")
+#: Words that open no name, in the four languages.
+_FUNCTION_WORDS = frozenset(
+    ("the a an this that these those in on at to of for from by with and or if when while after before as is are was it we you no not "
+     "der die das den dem des ein eine einen einem einer dieser diese dieses diesen jeder jede jedes kein keine im am zum zur vom beim in an auf aus bei mit nach von vor für laut und oder wenn "
+     "le la les un une des du ce cette ces dans sur à au aux par pour avec et ou si selon el los las una del al en por con y o según para este esta").split()
+)
 _OBFUSCATED = ("@", "at)", "at]", "at )", "at ]", " dot ", " punto ", " punkt ", " point ")
 _BLOB = re.compile(r"[^\s@]{100,}")
 
@@ -47,6 +54,10 @@ class Finder:
         known = self.known
         strange = {w for w in set(_LONG_WORD.findall(text)) if w.lower() not in known}
         found = [m.span() for m in _LONG_WORD.finditer(text) if m.group() in strange] if strange else []
+        for m in _CAPITALS.finditer(text):  # a name can consist of known words only
+            words = m.group().lower().replace("-", " ").split()
+            if sum(w not in _FUNCTION_WORDS for w in words) >= 2:
+                found.append(m.span())
         if any(x in text for x in _OBFUSCATED):
             found += [m.span() for m in _AT_SIGN.finditer(text)]
         found += [m.span() for m in _NUMBER.finditer(text)]
@@ -183,8 +194,8 @@ _TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|Don|Doña|S
 
 
 def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]) -> list[tuple[int, int, str]]:
-    """Exact checks of each mention: borders at word ends, titles and words of the background vocabulary at its sides left
-    out, one address on either side of 'to', and the signs and digits that its kind must have."""
+    """Exact checks of each mention: borders at word ends, titles at its sides left out, and of a person a closed list of words
+    that open sentences and words in lower case (the background vocabulary takes no capitalised word from what the model tags), one address on either side of 'to', and the signs and digits that its kind must have."""
     out = []
     halves = []
     for a, b, k in spans:
@@ -223,12 +234,12 @@ def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]
             mixed = any(w[:1].isupper() for w in own.split())
             while m := re.match(r"([^\W\d_]{2,}),? +(?=\S)", own):
                 word = m.group(1).lower()
-                if word in _PARTICLES or not (word in known or word in _BEFORE_NAMES or mixed and m.group(1).islower()):
+                if word in _PARTICLES or not (word in _BEFORE_NAMES or m.group(1).islower() and (mixed or word in known)):
                     break
                 a += m.end()
                 own = text[a:b]
             while m := re.search(r"\s+([^\W\d_]{2,})$", own):
-                if m.group(1).lower() not in known and not (mixed and m.group(1).islower()):
+                if not (m.group(1).lower() in _BEFORE_NAMES or m.group(1).islower() and (mixed or m.group(1) in known)):
                     break
                 b = a + m.start()
                 own = text[a:b]

@@ -61,8 +61,8 @@ class Labeller:
         bad = PARTICLES | {"hier", "gestern", "yesterday", "ayer", "el", "registro", "le", "the", "les"}
         self.given = {w for w, n in first.items() if n >= 2 and n > other[w] / 2 and '-' not in w and w not in bad and seen[w] < 400}
         surnames = {w for w in other if w not in self.given and w not in bad and seen[w] < 60}
-        self.plain = {w for w, n in seen.items() if n >= 12 and w not in self.given and w not in surnames}
         self.surnames = surnames | {p for w in surnames for p in re.split(r"[-'’]", w)}
+        self.plain = {w for w, n in seen.items() if n >= 12 and w not in self.given and w not in self.surnames}
 
     def persons(self, text: str) -> list[tuple[int, int]]:
         out = []

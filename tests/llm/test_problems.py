@@ -297,6 +297,21 @@ def test_mentions(spark):
     assert personal_data.mentions(df.limit(0), "k", "t").count() == 0
 
 
+def test_names_of_known_words_are_kept():
+    finder, known = personal_data.load(), frozenset(("costa", "long", "petit", "please", "yesterday"))
+    assert "wexsend" not in finder.known
+    for text, name in (
+        ("The merge table, says Gareth Wexsend, keeps every sample.", "Gareth Wexsend"), ("We owe the crop routine to Edmund Wexsend and to nobody else.", "Edmund Wexsend"),
+    ):
+        assert finder.find([text]) == [[(text.index(name), text.index(name) + len(name), "person")]]
+    for text, name in (("Marta Costa", "Marta Costa"), ("LONG PETIT", "LONG PETIT"), ("Yesterday Marta Costa", "Marta Costa"), ("please marta ozur", "marta ozur"), ("Marta Costa left", "Marta Costa")):
+        assert personal_data._checked(text, [(0, len(text), 0)], known) == [(text.index(name), text.index(name) + len(name), "person")]
+    text = "der Long Petit und die Maske. Der Long, Die Petit"
+    finder = personal_data.Finder.__new__(personal_data.Finder)
+    finder.known = frozenset(text.lower().replace(".", "").replace(",", "").split())
+    assert finder.cues(text) == [(4, 14)]
+
+
 def test_reconciling_windows():
     spans = [(0, 5, 0, 2.0), (3, 9, 1, 5.0), (9, 12, 0, 1.0), (0, 5, 0, 2.5)]
     assert personal_data.reconcile(spans) == [(3, 9, 1), (9, 12, 0)]
