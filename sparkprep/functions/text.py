@@ -67,8 +67,10 @@ def escape_json(text: Column) -> Column:
 
 def truncated_note(text: Column, limit: int = 300) -> Column:
     """Notes of more than ``limit`` bytes are cut there and end in '...]' and a line feed; a torn last character is dropped."""
-    raw = F.substring(F.encode(text, "utf-8"), 1, limit)
-    cut = F.regexp_replace(F.decode(raw, "utf-8"), "�+$", "")
+    raw = F.encode(text, "utf-8")
+    inner = [F.hex(F.substring(raw, limit + 1 - k, 1)).between("80", "BF") for k in range(3)]  # bytes that go on with a character, backwards from the cut
+    torn = F.when(~inner[0], 0).when(~inner[1], 1).when(~inner[2], 2).otherwise(3)
+    cut = F.decode(F.substring(raw, F.lit(1), limit - torn), "utf-8")
     return F.when(F.octet_length(text) > limit, F.concat(cut, F.lit("...]\n"))).otherwise(text)
 
 
