@@ -62,6 +62,11 @@ BUDGET = 20_000
 _MIX = f"""{_DOC_TOKENS}, mix AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5('1234:' || doc_id), doc_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM tokens WHERE source IS NOT NULL),
   kept AS (SELECT * FROM mix WHERE before < {BUDGET})"""
+#: Budget of a source whose token_target is null, or which the catalogue does not have.
+DEFAULT_TARGET = 100_000_000
+_TARGET_MIX = f"""{_DOC_TOKENS}, mix AS (SELECT t.*, coalesce(s.token_target, {DEFAULT_TARGET}) AS target, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5('1234:' || doc_id), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM tokens t LEFT JOIN sources s ON s.source_name = t.source WHERE source IS NOT NULL),
+  kept AS (SELECT * FROM mix WHERE before < target)"""
 
 
 # queries --------------------------------------------------------------------------------------------------------------
@@ -145,6 +150,21 @@ def mix_token_totals(spark: SparkSession, d: str) -> DataFrame:
     return mix.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
+def _target_mix(spark: SparkSession, d: str) -> DataFrame:
+    tokens = mixing.document_tokens(table(spark, d, "documents")).where("source is not null")
+    targets = table(spark, d, "sources").select(F.col("source_name").alias("source"), "token_target")
+    return mixing.budgeted_mix(tokens.join(F.broadcast(targets), "source", "left"), F.coalesce("token_target", F.lit(DEFAULT_TARGET)))
+
+
+def mix_order_by_target(spark: SparkSession, d: str) -> DataFrame:
+    """The mix under each source's own token_target."""
+    return _target_mix(spark, d).select("doc_id", "source", "n", "before", F.round("place", 12).alias("place"))
+
+
+def mix_token_totals_by_target(spark: SparkSession, d: str) -> DataFrame:
+    return _target_mix(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
+
+
 def subset_interleave(spark: SparkSession, d: str) -> DataFrame:
     return mixing.interleave(table(spark, d, "documents"), "domain")
 
@@ -286,6 +306,8 @@ QUERIES = {
         s AS (SELECT doc_id, total, unnest(range(0, total, 7800)) AS first_token FROM counted)
         SELECT doc_id, first_token // 7800 AS chunk, first_token, least(7800, total - first_token) AS n_tokens, least(7800, total - first_token) + 2 AS n_with_marks FROM s WHERE least(7800, total - first_token) >= 64"""),
     "mix_order": (mix_order, f"WITH {_MIX} SELECT doc_id, source, n, before, round((before + n / 2) / {BUDGET}, 9) AS place FROM kept"),
+    "mix_order_by_target": (mix_order_by_target, f"WITH {_TARGET_MIX} SELECT doc_id, source, n, before, round((before + n / 2) / target, 12) AS place FROM kept"),
+    "mix_token_totals_by_target": (mix_token_totals_by_target, f"WITH {_TARGET_MIX} SELECT source, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM kept GROUP BY source"),
     "mix_token_totals": (mix_token_totals, f"WITH {_MIX} SELECT source, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM kept GROUP BY source"),
     "subset_interleave": (subset_interleave, """WITH r AS (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS turn FROM documents WHERE domain IS NOT NULL)
         SELECT doc_id, domain, turn FROM r WHERE turn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents WHERE domain IS NOT NULL GROUP BY domain))"""),

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkprep import plans
 from sparkprep.functions import vectors as V
 from sparkprep.operators import context, messages as M, metadata as MD, metrics, mixing, packing
 
@@ -162,3 +163,16 @@ def test_overrides_and_registration(spark):
     assert spark.sql("SELECT bpe_decode(bpe_encode('héllo <x>')) AS t").first().t == "héllo <x>"
     assert spark.sql("SELECT * FROM chunk_tokens('a b c d e', 2, 1)").count() == 3
     assert spark.sql("SELECT dequantize(X'0000803F', 0) AS v").first().v == [1.0]
+
+
+def test_mix_by_targets_of_the_sources(spark, tmp_path):
+    docs = [(i, "word " * 100, f"s{i % 4}") for i in range(80)] + [(80, "word " * 100, None), (81, None, "s0")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("s0", 1000), ("s1", 500), ("s2", None)]
+    spark.createDataFrame(targets, "source_name string, token_target bigint").write.parquet(f"{tmp_path}/sources.parquet")
+    n = mixing.document_tokens(spark.read.parquet(f"{tmp_path}/documents.parquet")).first().n
+    kept = {r.source: (r.n_docs, r.n_tokens) for r in plans.queries()["mix_token_totals_by_target"](spark, str(tmp_path)).collect()}
+    assert kept == {s: (k, k * n) for s, k in (("s0", -(-1000 // n)), ("s1", -(-500 // n)), ("s2", 20), ("s3", 20))}
+    order = plans.queries()["mix_order_by_target"](spark, str(tmp_path)).collect()
+    budget = {"s0": 1000, "s1": 500, "s2": 100_000_000, "s3": 100_000_000}
+    assert all(r.before < budget[r.source] and abs(r.place - (r.before + r.n / 2) / budget[r.source]) < 1e-11 for r in order) and len(order) == sum(k for k, _ in kept.values())
