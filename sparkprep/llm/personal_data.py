@@ -39,7 +39,8 @@ _FUNCTION_WORDS = frozenset(
      "le la les un une des du ce cette ces dans sur à au aux par pour avec et ou si selon el los las una del al en por con y o según para este esta").split()
 )
 _OBFUSCATED = ("@", "at)", "at]", "at )", "at ]", " dot ", " punto ", " punkt ", " point ")
-_BLOB = re.compile(r"[^\s@]{100,}")
+#: Base64 and hex without any sign that could set a value apart.
+_BLOB = re.compile(r"[A-Za-z0-9+/]{100,}")
 
 
 class Finder:
@@ -88,7 +89,7 @@ class Finder:
         return char_classes(text[begin:end]).astype(np.int32) * 3 + self.flags(text, begin, end)[-(end - begin) :]
 
     def regions(self, text: str, cues: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Merged surroundings of the cues, to whole words; unbroken blobs without an at-sign have none."""
+        """Merged surroundings of the cues, to whole words; unbroken blobs of letters, digits, '+' and '/' have none."""
         if not cues:
             return []
         if len(text) > 100 and (blobs := [m.span() for m in _BLOB.finditer(text)]):

@@ -312,6 +312,18 @@ def test_names_of_known_words_are_kept():
     assert finder.cues(text) == [(4, 14)]
 
 
+def test_unspaced_fields_are_searched():
+    log = '{"run":{"id":"cbf0","step":"60281"},"loss":"5.2358","rows":["a","b"],"contact":{"phone":"+1-305-555-0148","mail":"x@quillmail.example"},"ok":true}'
+    query = "https://host.example/load?table=merge&step=60281&mode=full&keep=tokens&source=web&cache=no&phone=+1-305-555-0148&ok=true&more=" + "a" * 90
+    finder = personal_data.load()
+    for text in (log, query):
+        assert (text.index("+1-"), "phone") in [(a, kind) for a, _, kind in finder.find([text])[0]], text
+    chinese = "数据" * 60
+    assert finder.regions(chinese, finder.cues(chinese)) == [(0, 120)]
+    blob = "aGVsbG8gd29ybGQ5555" * 20
+    assert finder.regions(blob, finder.cues(blob)) == []
+
+
 def test_reconciling_windows():
     spans = [(0, 5, 0, 2.0), (3, 9, 1, 5.0), (9, 12, 0, 1.0), (0, 5, 0, 2.5)]
     assert personal_data.reconcile(spans) == [(3, 9, 1), (9, 12, 0)]
