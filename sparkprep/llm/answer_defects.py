@@ -127,6 +127,10 @@ _ITEM = re.compile(r"\s*(?:[-*+•‣▪◦·→–—]\s|\[[ xX]\]|\(?(?:\d{1,3
 _EMPTY_ITEM = re.compile(r"\s*(?:[-*+•‣▪◦·→–—]|\[[ xX]?\]?|\(?(?:\d{1,3}|[a-zA-Z])[.):])+\s*$")
 
 
+#: Words of an answer that may be an informal one of several sentences, and the likelihood from which an end is taken for one.
+SHORT, LIKELY_END = 12, 0.2
+
+
 def truncation(answer: str, models: CharModels) -> str | None:
     """Why an answer seems to break off: code, formula, list, sentence or word; None if it is complete."""
     text = answer.rstrip()
@@ -165,7 +169,9 @@ def truncation(answer: str, models: CharModels) -> str | None:
         return "list" if unlikely else None
     sentences = re.search(r"[.!?…][\"'”»)]*\s+\S", last) or re.search(r"[.!?…][\"'”»)]*$", before)
     if sentences and len(_WORDS.findall(tail)) >= 3:
-        return "sentence"
+        if probability is None:  # no known ending: without a full stop, only a short answer counts as complete
+            return "sentence" if len(_WORDS.findall(text)) > SHORT else None
+        return "sentence" if probability < LIKELY_END else None
     if any(c.isdigit() or c == "_" for c in tail.split()[-1]):
         return None  # a short informal answer that names something
     probability = models.end_probability(tail, least=30, shortest=6)

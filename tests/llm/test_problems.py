@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkprep.llm import answer_defects, encode, fill_rows, near_duplicates, personal_data, prefix_bpe, queries, set_sketch, split_long, tagger, text_stats, token_budget
+from sparkprep.llm import answer_defects, char_models, encode, fill_rows, near_duplicates, personal_data, prefix_bpe, queries, set_sketch, split_long, tagger, text_stats, token_budget
 
 from ..compare import duck, rows
 
@@ -49,6 +49,14 @@ def test_pairs_and_defects(spark):
     assert answer_defects.answer_defects(df.limit(0), COMMON).count() == 0
 
 
+def test_informal_answers_of_two_sentences_are_complete():
+    models = char_models.load()
+    for text in ("Sure. Use the second one", "Sí. Usa el segundo", "Yes. Set it to five and restart"):
+        assert answer_defects.truncation(text, models) is None
+    long = "The loader keeps the average in every run, and the packer copies the leftover tokens of it. The reader pads the"
+    assert answer_defects.truncation(long, models) == "sentence"
+
+
 def test_long_conversations_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(answer_defects, "TURNS", 4)
     df = spark.createDataFrame([(i, 1, i, "user" if i in (0, 9) else "assistant", f"c{i}", "", "") for i in range(12)], MSG)
