@@ -88,9 +88,9 @@ def _edit_share(x: str, y: str) -> float:
 
 
 def is_refusal(answer: str) -> bool:
-    """A short answer that declines and in which every sentence only declines, apologizes, explains that or offers other help."""
+    """An answer of any length that declines and in which every sentence only declines, apologizes, explains that or offers other help."""
     text = answer.strip().lower().replace("’", "'")
-    if len(text) > 500 or not _REFUSALS.search(text):
+    if not _REFUSALS.search(text):
         return False
     return refusal_log_odds(text) > 0
 
@@ -99,7 +99,7 @@ _MODEL: list[dict[str, float]] = []
 
 
 def refusal_log_odds(text: str) -> float:
-    """Least, over the sentences of a short answer, of the mean log-odds of its words to stand in refusals."""
+    """Least, over the sentences of an answer, of the mean log-odds of its words to stand in refusals."""
     if not _MODEL:
         with np.load(char_models.MODEL.replace("char_models", "refusal_words")) as f:
             _MODEL.append(dict(zip(f["words"].tolist(), f["odds"].tolist())))

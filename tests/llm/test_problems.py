@@ -49,6 +49,12 @@ def test_pairs_and_defects(spark):
     assert answer_defects.answer_defects(df.limit(0), COMMON).count() == 0
 
 
+def test_refusals_of_any_length():
+    text = "I'm sorry, but I can't help with this. Please ask someone qualified."
+    assert answer_defects.is_refusal(text) and answer_defects.is_refusal(" ".join([text] * 9))
+    assert not answer_defects.is_refusal(" ".join([text] * 9) + " The loader keeps the running average of the second file in every run.")
+
+
 def test_informal_answers_of_two_sentences_are_complete():
     models = char_models.load()
     for text in ("Sure. Use the second one", "Sí. Usa el segundo", "Yes. Set it to five and restart"):
