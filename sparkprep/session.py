@@ -8,13 +8,29 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset (local tests), below the machine's temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, a folder of its own below the temporary one, in local mode only.
+
+    On a cluster without the setting an error is raised, as executors share no machine's folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sparkprep.workDir", None)
     if not base:
-        base = spark.conf.get("spark.sparkprep.workDir", None) or tempfile.mkdtemp(prefix="sparkprep-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sparkprep-")
         spark.conf.set("spark.sparkprep.workDir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Gives the session a checkpoint folder if it has none."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def local_path(folder: str) -> str:
