@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoints
+
 #: Where the vocabulary files of the public tokenizers lie; every operator takes it as a parameter.
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -38,6 +40,12 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the folder that executors share, so that later steps do not repeat it."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys``, as many partitions as the session shuffles into."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

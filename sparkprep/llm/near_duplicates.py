@@ -4,11 +4,14 @@ Plan (no cross join, nothing unbounded in one row, task or on the driver):
 
 1. every text becomes the set of its word sequences; equal sets within a batch are combined at once into one row of a
    *class* (side and set hash, message ids, hashes of the sequences);
-2. classes are hash-partitioned once, which brings all copies together; a group of copies is from here on one class;
-3. each class sends a row to each of its bands: band key, class, one bit of each register, size. A row moves 28 bytes;
-4. rows with one key are compared by bits and sizes in vectors; keys with very many classes are cut into blocks whose
-   pairs are spread over all tasks;
-5. the pairs left are joined with the sequence hashes of step 2 (the same exchange) and verified exactly;
+2. classes are hash-partitioned once, which brings all copies together; a group of copies is from here on one class. A
+   partition is read in the order of its classes, slice by slice;
+3. each class sends a row to each of its bands: band key, class, one bit of each register, size. A row moves 28 bytes, to
+   one of as many buckets as the input's bytes ask for; a task takes its buckets one by one;
+4. rows with one key are compared by bits and sizes in vectors; keys with very many classes are cut into blocks, which other
+   tasks send to each other, so that no task writes or compares all pairs of a key;
+5. the pairs left are joined with the sequence hashes of step 2 (the same exchange); their similarity is estimated jointly
+   from both sketches by likelihood, and what the estimate leaves is verified exactly;
 6. for groups, the components of the classes are contracted in rounds, and messages follow by their class.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import set_sketch
-from .common import side
+from .common import kept, side
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -95,23 +98,32 @@ def text_classes(df: DataFrame, key: str, group: Column, text: str, k: int = 3,
     slim = df.select(F.col(key).cast("bigint").alias("k"), group.alias("g"), F.col(text).alias("t")).where("g is not null and t is not null and k is not null")
     rows = slim.mapInArrow(lambda b: _class_rows(b, k, least_words), "c bigint, ids binary, items binary")
     rows = rows.where("c is not null")  # always true; the filter of later joins is then the same, and so is the exchange
-    return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c")
+    return rows.repartition("c")
+
+
+def _in_order(classes: DataFrame) -> DataFrame:
+    """The classes with all rows of a class in a row."""
+    return classes.sortWithinPartitions("c")
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes]]]:
-    """Distinct classes of a partition with all their ids, in slices; ids of one class are merged."""
-    ids: dict[int, bytes | list[bytes]] = {}
-    items: dict[int, bytes] = {}
+    """Distinct classes of a sorted partition with all their ids, in slices; ids of one class are merged."""
+    names: list[int] = []
+    ids: list[list[bytes]] = []
+    items: list[bytes] = []
     for batch in batches:
         for c, i, s in zip(*(batch.column(j).to_pylist() for j in range(3))):
-            if c in ids:
-                ids[c] = [*(old if isinstance(old := ids[c], list) else [old]), i]
-            else:
-                ids[c], items[c] = i, s
-    names = list(items)
-    for a in range(0, len(names), 5000):
-        part = names[a : a + 5000]
-        yield np.array(part, np.int64), [b"".join(x) if isinstance(x := ids[c], list) else x for c in part], [items[c] for c in part]
+            if names and names[-1] == c:
+                ids[-1].append(i)
+                continue
+            if len(names) >= 5000:
+                yield np.array(names, np.int64), [b"".join(x) for x in ids], items
+                names, ids, items = [], [], []
+            names.append(c)
+            ids.append([i])
+            items.append(s)
+    if names:
+        yield np.array(names, np.int64), [b"".join(x) for x in ids], items
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, m: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -155,92 +167,133 @@ def _likely(row: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, sig
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], words: int, threshold: float, sigmas: float) -> Iterator[pa.RecordBatch]:
-    """Of a partition's band rows: packed likely pairs (slot -1), and blocks of large buckets to be compared elsewhere."""
-    data = b"".join(x for batch in batches for x in batch.column(1).to_pylist())
-    row = np.frombuffer(data, _row_type(words))
-    if not len(row):
-        return
-    row = row[np.lexsort((row["c"], row["key"]))]
-    fresh = np.concatenate([[True], (row["key"][1:] != row["key"][:-1]) | (row["c"][1:] != row["c"][:-1])])
-    row = row[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], row["key"][1:] != row["key"][:-1]]))
-    sizes = np.diff(np.append(starts, len(row)))
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    for g in np.unique(sizes[(sizes > 1) & (sizes <= BLOCK)]):
-        own = starts[sizes == g]
-        i, j = np.triu_indices(g, 1)
-        step = max(1, 2_000_000 // len(i))
-        for s in range(0, len(own), step):
-            base = own[s : s + step, None]
-            x, y = _likely(row, (base + i).ravel(), (base + j).ravel(), threshold, sigmas)
-            left.append(x)
-            right.append(y)
-    if left:
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        for s in range(0, len(pairs), 100_000):
-            part = pairs[s : s + 100_000]
-            yield _packed([(-1, np.ascontiguousarray(part[:, 0]).tobytes(), np.ascontiguousarray(part[:, 1]).tobytes())])
-    for start, g in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK]):
-        blocks = [row[start + s : min(start + s + BLOCK, start + g)].tobytes() for s in range(0, g, BLOCK)]
-        for i, x in enumerate(blocks):
-            for j in range(i, len(blocks)):
-                yield _packed([(int(row["key"][start]) ^ (i << 16) ^ j, x, blocks[j])])
+def _buckets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
+    """Band rows of each bucket of a partition that is sorted by bucket."""
+    name, held = None, []
+    for batch in batches:
+        for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if p != name and held:
+                yield np.frombuffer(b"".join(held), _row_type(words))
+                held = []
+            name = p
+            held.append(x)
+    if held:
+        yield np.frombuffer(b"".join(held), _row_type(words))
+
 
+#: Rows of ``_bucket_pairs``: key and number of a block of ``n`` blocks with its band rows; likely pairs are one block (n = 1).
+_BLOCKS = "key bigint, i int, n int, block binary, other binary"
 
-def _packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    slots, left, right = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["slot", "l", "r"])
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], words: int, threshold: float, sigmas: float) -> Iterator[pa.RecordBatch]:
+    """Of each bucket's band rows: packed likely pairs, and blocks of the keys that are to be compared elsewhere."""
+    for row in _buckets(batches, words):
+        row = row[np.lexsort((row["c"], row["key"]))]
+        fresh = np.concatenate([[True], (row["key"][1:] != row["key"][:-1]) | (row["c"][1:] != row["c"][:-1])])
+        row = row[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], row["key"][1:] != row["key"][:-1]]))
+        sizes = np.diff(np.append(starts, len(row)))
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        for g in np.unique(sizes[(sizes > 1) & (sizes <= BLOCK)]):
+            own = starts[sizes == g]
+            i, j = np.triu_indices(g, 1)
+            step = max(1, 2_000_000 // len(i))
+            for s in range(0, len(own), step):
+                base = own[s : s + step, None]
+                x, y = _likely(row, (base + i).ravel(), (base + j).ravel(), threshold, sigmas)
+                left.append(x)
+                right.append(y)
+        out: list[tuple[int, int, int, bytes, bytes | None]] = []
+        if left:
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+            for s in range(0, len(pairs), 100_000):
+                part = pairs[s : s + 100_000]
+                out.append((int(part[0, 0]), 0, 1, np.ascontiguousarray(part[:, 0]).tobytes(), np.ascontiguousarray(part[:, 1]).tobytes()))
+        for start, g in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK]):
+            n = -(-int(g) // BLOCK)
+            out += [(int(row["key"][start]), i, n, row[start + i * BLOCK : min(start + (i + 1) * BLOCK, start + g)].tobytes(), None) for i in range(n)]
+        if out:
+            key, i, n, block, other = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int32()), pa.array(block, pa.binary()), pa.array(other, pa.binary())], ["key", "i", "n", "block", "other"])
+
+
+def _met(packed: DataFrame) -> DataFrame:
+    """(met): for each two blocks of a key the both of them, for likely pairs themselves. Each block goes to the tasks of its partners."""
+    each = packed.select("key", "i", "block", "other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    low, high = F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")
+    alone = F.coalesce(F.xxhash64("other") * F.col("other").isNotNull().cast("bigint"), F.lit(0)).alias("alone")
+    return each.groupBy("key", low, high, alone).agg(F.collect_list(F.struct("block", "other")).alias("met")).select("met")
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], words: int, threshold: float, sigmas: float) -> Iterator[pa.RecordBatch]:
     """Rows (a, b) of packed pairs, and of the blocks that are compared here."""
     for batch in batches:
-        for slot, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if slot < 0:
-                a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            else:
-                one, two = np.frombuffer(x, _row_type(words)), np.frombuffer(y, _row_type(words))
-                both, found = np.concatenate([one, two]), []
-                for s in range(0, len(one), 256):
-                    i = np.arange(s, min(s + 256, len(one)))
-                    p, r = np.repeat(i, len(two)), np.tile(np.arange(len(two)), len(i))
-                    p, r = (p[p < r], r[p < r]) if x == y else (p, r)
-                    found.append(_likely(both, p, r + len(one), threshold, sigmas))
-                a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def similar_classes(classes: DataFrame, threshold: float = 0.5, bands: int = 28, rows: int = 3, m: int = 128, sigmas: float = 3.0) -> DataFrame:
+        for met in batch.column(0).to_pylist():
+            for a, b in _compared(met, words, threshold, sigmas):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _compared(met: list[dict], words: int, threshold: float, sigmas: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if met[0]["other"] is not None:
+        for x in met:
+            yield np.frombuffer(x["block"], np.int64), np.frombuffer(x["other"], np.int64)
+        return
+    blocks = [np.frombuffer(x["block"], _row_type(words)) for x in met]
+    one, two, same = blocks[0], blocks[-1], len(blocks) == 1
+    both = np.concatenate([one, two])
+    for s in range(0, len(one), 256):
+        i = np.arange(s, min(s + 256, len(one)))
+        p, r = np.repeat(i, len(two)), np.tile(np.arange(len(two)), len(i))
+        p, r = (p[p < r], r[p < r]) if same else (p, r)
+        yield _likely(both, p, r + len(one), threshold, sigmas)
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of about one or two megabytes of band rows, by the bytes of the input that the optimizer knows; no job is run."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(max(size >> 19, 64), 1 << 27))
+
+
+def similar_classes(classes: DataFrame, buckets: int, threshold: float = 0.5, bands: int = 28, rows: int = 3, m: int = 128, sigmas: float = 3.0) -> DataFrame:
     """(a, b, jaccard): pairs of different classes, a < b, whose sets are at least as similar as ``threshold``.
 
     A pair of similarity J shares a band with probability 1 - (1 - J^rows)^bands: 0.976 at 0.5, 0.997 at 0.6, above 0.9999
     at 0.7. Verification compares the sets themselves (as 32-bit hashes of their sequences).
     """
-    spark, words = classes.sparkSession, m // 64
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    banded = classes.mapInArrow(lambda x: _band_rows(x, bands, rows, m, parts), "p bigint, rows binary").repartition(parts, "p")
-    packed = banded.mapInArrow(lambda x: _bucket_pairs(x, words, threshold, sigmas), "slot bigint, l binary, r binary")
-    likely = packed.repartition(parts, F.xxhash64("slot", "l", "r")).mapInArrow(lambda x: _block_pairs(x, words, threshold, sigmas), "a bigint, b bigint").distinct()
+    words = m // 64
+    banded = _in_order(classes).mapInArrow(lambda x: _band_rows(x, bands, rows, m, buckets), "p bigint, rows binary").repartition("p").sortWithinPartitions("p")
+    packed = banded.mapInArrow(lambda x: _bucket_pairs(x, words, threshold, sigmas), _BLOCKS)
+    likely = _met(packed).mapInArrow(lambda x: _block_pairs(x, words, threshold, sigmas), "a bigint, b bigint").distinct()
     # keeps the partitioning of the classes; the filter holds on to all columns, so that the exchange is the same one
     sets = classes.groupBy("c").agg(F.first("items").alias("items"), F.sum(F.length("ids")).alias("w")).where("w > 0")
     with_a = likely.join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(lambda x: _verified(x, threshold), "a bigint, b bigint, jaccard double")
+    return both.mapInArrow(lambda x: _verified(x, threshold, m), "a bigint, b bigint, jaccard double")
+
+
+#: Deviations of the joint estimate below the threshold within which a pair is still verified.
+MARGIN = 4.0
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float, m: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose joint estimate does not lie clearly below the threshold, by their exact similarity."""
+    least = threshold - MARGIN * (threshold * (1 - threshold) / m) ** 0.5
     for batch in batches:
         rows = []
-        for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            one, two = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            joined = np.concatenate([one, two])
-            joined.sort(kind="stable")
-            both = int((joined[1:] == joined[:-1]).sum())
-            if both >= threshold * (j := len(one) + len(two) - both):
-                rows.append((a, b, both / j))
+        for s in range(0, batch.num_rows, 2000):
+            left, right, x, y = (batch.column(i).slice(s, 2000).to_pylist() for i in range(4))
+            one, two = ([np.frombuffer(v, np.uint32) for v in z] for z in (x, y))
+            sizes = [np.array([len(v) for v in z], np.int64) for z in (one, two)]
+            sketches = [set_sketch.registers(np.concatenate(z), np.cumsum(n) - n, m) for z, n in zip((one, two), sizes)]
+            near = set_sketch.joint_jaccard(*sketches, *sizes) >= least
+            for k in np.flatnonzero(near):
+                joined = np.concatenate([one[k], two[k]])
+                joined.sort(kind="stable")
+                both = int((joined[1:] == joined[:-1]).sum())
+                if both >= threshold * (j := len(joined) - both):
+                    rows.append((left[k], right[k], both / j))
         if rows:
             a, b, j = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j)], ["a", "b", "jaccard"])
@@ -291,37 +344,31 @@ def near_duplicate_pairs(df: DataFrame, key: str, group: Column, text: str, k: i
     words, have no partners.
     """
     classes = text_classes(df, key, group, text, k, least_words)
-    members = classes.mapInArrow(lambda b: _member_rows(b, expanded), "c bigint, ids array<bigint>")
-    copies = classes.mapInArrow(lambda b: _copy_rows(b, expanded), "x array<bigint>, y array<bigint>").withColumn("inside", F.lit(True))
-    pairs = similar_classes(classes, threshold).select("a", "b")
+    members = _in_order(classes).mapInArrow(lambda b: _member_rows(b, expanded), "c bigint, ids array<bigint>")
+    copies = _in_order(classes).mapInArrow(lambda b: _copy_rows(b, expanded), "x array<bigint>, y array<bigint>").withColumn("inside", F.lit(True))
+    pairs = similar_classes(classes, bucket_count(df), threshold).select("a", "b")
     one = members.select(F.col("c").alias("a"), F.col("ids").alias("x"))
     two = members.select(F.col("c").alias("b"), F.col("ids").alias("y"))
     blocks = pairs.join(one, "a").join(two, "b").select("x", "y").withColumn("inside", F.lit(False)).unionByName(copies)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(parts, F.xxhash64(F.col("x")[0], F.col("y")[0]))
+    blocks = blocks.repartition(F.xxhash64(F.col("x")[0], F.col("y")[0]))
     out = blocks.select(F.explode("x").alias("p"), "y", "inside").select("p", F.explode("y").alias("q"), "inside").where("not inside or p > q")
     return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back, so that rounds do not grow the plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each end v of the edges (a, b): the least end that can be reached from it.
 
     Large and small stars in turn (Kiveris et al.): each end hangs its greater neighbours, then its lesser ones and itself,
     below the least of them, until nothing changes. The driver gets two counts a round.
     """
-    now = _kept(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v > u").distinct())
+    now = kept(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v > u").distinct())
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("u"), F.least("v", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u")
-        new = _kept(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        new = kept(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
         # rounds are done when every end hangs below one root, and no root below another
         if new.count() == new.select("v").distinct().count() and new.join(new.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             return new.select("v", F.col("u").alias("root")).unionByName(new.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
@@ -343,8 +390,8 @@ def near_duplicate_groups(df: DataFrame, key: str, group: Column, text: str, k:
     those of the classes, and keys follow by membership, so that copies cost one row each, whatever the group's size.
     """
     rows = text_classes(df, key, group, text, k, least_words)
-    edges = _kept(similar_classes(rows, threshold).select("a", "b"))
-    members = _kept(rows.select("c", "ids").mapInArrow(_class_members, "c bigint, k bigint").distinct())
+    edges = kept(similar_classes(rows, bucket_count(df), threshold).select("a", "b"))
+    members = kept(rows.select("c", "ids").mapInArrow(_class_members, "c bigint, k bigint").distinct())
     classes = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beside = both.join(classes.select(F.col("c").alias("b"), "n"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("beside"))
