@@ -2,172 +2,155 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix_bpe
-from .common import TOKENIZER_DIR, spread
+from .common import TOKENIZER_DIR, kept
+
+
+#: Tokens and items of a shard, which is packed alone; shards follow from the data, not from the session.
+SHARD_TOKENS, SHARD_ITEMS = 8_000_000, 200_000
 
 
 class BestFit:
-    """Bins of one shard, ordered by residual room; sizes must come in descending order, copies of a text in a row.
+    """Bins of one shard, ordered by the room left, with bitmaps of what is in them.
 
-    Each residual has its bins by bitmap of the sources in them, and an integer's bits tell which residuals have bins, so
-    the tightest bin that holds a size is found by one shift. Its bitmap of duplicate clusters is kept as the cluster that
-    was put in last: copies are equally long and come in a row, so an older cluster never comes again. The search goes on
-    to larger residuals until it finds a bin without that cluster. Among bins of equal room one without the source is
-    preferred, which costs no room.
+    An integer's bits tell which rooms have bins, so the tightest room that holds a size is found by one shift. A bin's bitmap
+    has a bit for each source and one for each duplicate cluster of several members; an item never joins a bin that shares a
+    bit of ``hard`` with it. The search goes on to larger rooms until it finds a compatible bin, and opens a bin if there is
+    none. Among compatible bins of equal room one without the item's ``soft`` bits is preferred.
     """
 
     def __init__(self, capacity: int):
         self.capacity, self.mask = capacity, 0
         self.by_room: list[dict[int, list[int]]] = [{} for _ in range(capacity + 1)]
-        self.room: list[int] = []
-        self.bits: list[int] = []
-        self.cluster: list[object] = []
-        self.open_room = 0
-
-    def _put_back(self, b: int) -> None:
-        room = self.room[b]
-        self.by_room[room].setdefault(self.bits[b], []).append(b)
+        self.n = 0
+
+    def place(self, size: int, hard: int, soft: int) -> int:
+        """The tightest compatible bin, which takes the item."""
+        floor = size
+        while above := self.mask >> floor:
+            floor += (above & -above).bit_length() - 1
+            level, found = self.by_room[floor], None
+            for bits in level:
+                if not bits & hard:
+                    found = bits
+                    if not bits & soft:
+                        break
+            if found is not None:
+                b = level[found].pop()
+                if not level[found]:
+                    del level[found]
+                    if not level:
+                        self.mask &= ~(1 << floor)
+                return self._put(b, floor - size, found | hard | soft)
+            floor += 1
+        self.n += 1
+        return self._put(self.n - 1, self.capacity - size, hard | soft)
+
+    def _put(self, b: int, room: int, bits: int) -> int:
+        self.by_room[room].setdefault(bits, []).append(b)
         self.mask |= 1 << room
-
-    def _take(self, room: int, bits: int) -> int:
-        level = self.by_room[room]
-        b = level[bits].pop()
-        if not level[bits]:
-            del level[bits]
-            if not level:
-                self.mask &= ~(1 << room)
         return b
 
-    def _fill(self, b: int, size: int, source: int, cluster: object) -> int:
-        self.room[b] -= size
-        self.open_room -= size
-        self.bits[b] |= 1 << source
-        self.cluster[b] = cluster
-        return b
 
-    def _new(self) -> int:
-        self.room.append(self.capacity)
-        self.bits.append(0)
-        self.cluster.append(None)
-        self.open_room += self.capacity
-        return len(self.room) - 1
-
-    def place(self, size: int, source: int, cluster: object, copies: int, left: int) -> list[int]:
-        """Bins of ``copies`` equal items; ``left`` is the total size of all later items.
-
-        Each copy goes to the tightest bin without a copy. When no such bin is left, a copy opens a bin as long as later
-        items can fill the open room, and otherwise shares a bin with another copy, so that keeping copies apart never
-        costs a row.
-        """
-        out, used, floor = [], [], size
-        while len(out) < copies:
-            above = self.mask >> floor
-            if above:
-                floor += (above & -above).bit_length() - 1
-                level = self.by_room[floor]
-                bits = next((k for k in level if not k >> source & 1), None)
-                b = self._take(floor, next(iter(level)) if bits is None else bits)
-            elif not out or self.open_room + self.capacity <= left or not (b := self._shared(used, size)):
-                b = self._new()
-            else:
-                b = b - 1
-            out.append(self._fill(b, size, source, cluster))
-            used.append(b)
-        for b in set(used):
-            self._put_back(b)
-        return out
-
-    def _shared(self, used: list[int], size: int) -> int:
-        """1 + the last used bin that holds one more copy, 0 if none does; full ones are passed once."""
-        while used and self.room[used[-1]] < size:
-            self._put_back(used.pop())
-        return used[-1] + 1 if used else 0
-
-
-def pack_shard(key: np.ndarray, size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacity: int) -> np.ndarray:
-    """Bin number of each item of a shard, for sizes up to ``capacity``; independent of the order of the items."""
+def pack_shard(key: np.ndarray, size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacity: int, apart: bool = False) -> np.ndarray:
+    """Bin number of each item of a shard, for sizes up to ``capacity``; independent of the order of the items.
+
+    Two members of a cluster never share a bin; with ``apart`` neither do two items of a source. Items of size 0 hold
+    nothing that could conflict: they are spread over the bins there are.
+    """
     order = np.lexsort((key, cluster, -size))
-    bins, left = np.zeros(len(key), np.int64), int(size.sum())
-    fit, i = BestFit(capacity), 0
-    names = {s: n for n, s in enumerate(sorted(set(source.tolist())))}
-    while i < len(order):
-        j, a = i, order[i]
-        while j < len(order) and size[order[j]] == size[a] and cluster[order[j]] == cluster[a]:
-            j += 1
-        left -= int(size[a]) * (j - i)
-        if size[a] == 0:  # takes no room: spread over the bins there are
-            if not fit.room:
-                fit._new()
-            bins[order[i:]] = np.arange(len(order) - i) % len(fit.room)
-            break
-        bins[order[i:j]] = fit.place(int(size[a]), names[source[a]], cluster[a], j - i, left)
-        i = j
+    bins, fit = np.zeros(len(key), np.int64), BestFit(capacity)
+    names, at, n = np.unique(cluster[size > 0], return_inverse=True, return_counts=True)
+    several = np.cumsum(n > 1) - 1
+    cluster_bit = np.full(len(key), -1)
+    cluster_bit[size > 0] = np.where(n[at] > 1, several[at], -1)
+    sources = np.unique(source, return_inverse=True)[1] + int((n > 1).sum())
+    filled = order[size[order] > 0]
+    for i in filled:
+        own, other = 1 << int(cluster_bit[i]) if cluster_bit[i] >= 0 else 0, 1 << int(sources[i])
+        bins[i] = fit.place(int(size[i]), own | other, 0) if apart else fit.place(int(size[i]), own, other)
+    empty = order[size[order] == 0]
+    bins[empty] = np.arange(len(empty)) % max(fit.n, 1)
     return bins
 
 
-def pack_rows(items: DataFrame, key: str, size: str, source: str, cluster: str, capacity: int = 2048) -> DataFrame:
+def _packed(table: pa.Table, capacity: int, apart: bool) -> pa.Table:
+    """Pieces of the items of one shard with their rows."""
+    key, n, source, cluster = (table.column(c).to_numpy() for c in ("k", "n", "s", "c"))
+    key = np.where(np.isnan(key), np.iinfo(np.int64).min, key).astype(np.int64) if key.dtype.kind == "f" else key
+    full = np.where(n > capacity, n // capacity, 0)
+    rest = n - full * capacity
+    packed = (rest > 0) | (n == 0)
+    # full rows of oversized items
+    owner = np.repeat(np.arange(len(key)), full)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
+    at = np.flatnonzero(packed)
+    bins = pack_shard(key[at], rest[at], source[at], cluster[at], capacity, apart)
+    order = np.lexsort((key[at], bins))
+    slot = np.empty(len(at), np.int64)
+    slot[order] = np.arange(len(at)) - np.searchsorted(bins[order], bins[order])
+    top = int(bins.max()) + 1 if len(bins) else 0
+    shard = table.column("shard")[0].as_py()
+    columns = {
+        "k": table.column("k").take(pa.array(np.concatenate([owner, at]))).combine_chunks(), "piece_no": np.concatenate([number, full[at]]),
+        "first_token": np.concatenate([number * capacity, full[at] * capacity]), "n_tokens": np.concatenate([np.full(len(owner), capacity), rest[at]]),
+        "row_id": (shard << 40) + np.concatenate([top + np.arange(len(owner)), bins]), "slot": np.concatenate([np.zeros(len(owner), np.int64), slot]),
+    }
+    return pa.table(columns)
+
+
+def pack_rows(items: DataFrame, key: str, size: str, source: str, cluster: str, capacity: int = 2048, apart: bool = False) -> DataFrame:
     """(key, piece_no, first_token, n_tokens, row_id, slot): every item in exactly one row, or in pieces if it is larger.
 
-    An item larger than ``capacity`` gives full rows and one rest, which is packed like any item. Items of size 0 take no
-    room and are spread over the rows. A null size counts as 0, a null source or cluster as a value of its own; a null key
-    is kept. Items are hashed into as many shards as the session shuffles into; each shard packs its sizes alone (best fit,
-    descending), which costs at most about one open row a shard. Only sizes are moved, never texts.
+    A conflict is a row with two members of one duplicate cluster; there is none. Two items of one source in a row are avoided
+    where that costs no room, and ruled out with ``apart``, which costs rows. An item larger than ``capacity`` gives full rows
+    and one rest, which is packed like any item. Items of size 0 take no room and are spread over the rows. A null size counts as 0,
+    a null source as a source of its own, a null cluster as a cluster of the item alone; a null key is kept.
+
+    Sizes are computed once and kept in the shared folder; their sum gives the number of hash shards, whatever the session
+    shuffles into, so the rows are the same with any number of partitions. Each shard packs its sizes alone (best fit,
+    descending), which costs at most about one open row a shard of some 4,000. Only sizes are moved, never texts.
     """
-    slim = items.select(
+    slim = kept(items.select(
         F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"),
-        F.coalesce(F.xxhash64(F.col(source)), F.lit(0)).alias("s"), F.coalesce(F.col(cluster).cast("bigint"), F.lit(0)).alias("c"),
-    )
+        F.coalesce(F.xxhash64(F.col(source)), F.lit(0)).alias("s"), F.coalesce(F.col(cluster).cast("bigint"), F.xxhash64(F.lit("alone"), F.col(key))).alias("c"),
+    ))
+    tokens, rows = slim.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, -(-tokens // SHARD_TOKENS), -(-rows // SHARD_ITEMS))
+    sharded = slim.withColumn("shard", F.pmod(F.xxhash64("k", "n", "s"), F.lit(shards)))
+    schema = "k bigint, piece_no bigint, first_token bigint, n_tokens bigint, row_id bigint, slot bigint"
+    out = sharded.groupBy("shard").applyInArrow(lambda t: _packed(t, capacity, apart), schema)
+    return out.withColumnRenamed("k", key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [x for x in batches if x.num_rows]
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts)
-        key, n, source, cluster = (whole.column(c).to_numpy() for c in ("k", "n", "s", "c"))
-        key = np.where(np.isnan(key), np.iinfo(np.int64).min, key).astype(np.int64) if key.dtype.kind == "f" else key
-        full = np.where(n > capacity, n // capacity, 0)
-        rest = n - full * capacity
-        packed = (rest > 0) | (n == 0)
-        # full rows of oversized items
-        owner = np.repeat(np.arange(len(key)), full)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
-        at = np.flatnonzero(packed)
-        bins = pack_shard(key[at], rest[at], source[at], cluster[at], capacity)
-        order = np.lexsort((key[at], bins))
-        slot = np.empty(len(at), np.int64)
-        slot[order] = np.arange(len(at)) - np.searchsorted(bins[order], bins[order])
-        top = int(bins.max()) + 1 if len(bins) else 0
-        out_key = whole.column("k").take(pa.array(np.concatenate([owner, at])))
-        columns = [
-            out_key, np.concatenate([number, full[at]]), np.concatenate([number * capacity, full[at] * capacity]),
-            np.concatenate([np.full(len(owner), capacity), rest[at]]), np.concatenate([top + np.arange(len(owner)), bins]),
-            np.concatenate([np.zeros(len(owner), np.int64), slot]),
-        ]
-        names = ["k", "piece_no", "first_token", "n_tokens", "local", "slot"]
-        yield from pa.table([columns[0], *map(pa.array, columns[1:])], names).to_batches(max_chunksize=50_000)
-
-    schema = "k bigint, piece_no bigint, first_token bigint, n_tokens bigint, local bigint, slot bigint"
-    out = spread(slim, "k").mapInArrow(run, schema).withColumn("shard", F.spark_partition_id().cast("bigint"))
-    row_id = (F.shiftleft(F.col("shard"), 40) + F.col("local")).alias("row_id")
-    return out.select(F.col("k").alias(key), "piece_no", "first_token", "n_tokens", row_id, "slot")
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def text_cluster(text: str | None) -> int | None:
+    """Hash of the words of a text in lower case: texts that differ in marks, case and white space only share it. None without words."""
+    words = _WORD.findall(text.lower()) if text else []
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63) if words else None
 
 
 def document_sizes(docs: DataFrame, name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """(doc_id, source, n_tokens, cluster): tokens of each text and the hash of equal texts; null and empty texts have 0."""
+    """(doc_id, source, n_tokens, cluster): tokens of each text and its ``text_cluster``; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = prefix_bpe.load(name, tokenizer_dir)
         for x in batches:
             if x.num_rows:
-                n = pa.array([bpe.count(t) for t in x.column(3).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), n], ["doc_id", "source", "cluster", "n_tokens"])
+                texts = x.column(2).to_pylist()
+                columns = [x.column(0), x.column(1), pa.array(map(text_cluster, texts), pa.int64()), pa.array(map(bpe.count, texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "cluster", "n_tokens"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.xxhash64("text").alias("cluster"), "text")
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     return slim.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint")

@@ -270,22 +270,42 @@ def test_budget(spark):
 def test_shards_fit(items):
     size = np.array([i[0] for i in items], np.int64)
     source, cluster = (np.array([i[k] for i in items], np.int64) for k in (1, 2))
-    cluster = cluster * 1000 + size  # copies are equally long
     bins = fill_rows.pack_shard(np.arange(len(items)), size, source, cluster, 100)
     load = np.bincount(bins, size)
     assert load.max() <= 100 and len(bins) == len(items)
-    assert len(load) <= 2 * -(-int(size.sum()) // 100) + 1
+    held = [(b, c) for b, c, n in zip(bins.tolist(), cluster.tolist(), size.tolist()) if n]
+    assert len(held) == len(set(held))  # no row has two members of a cluster
+    most = max(np.bincount(cluster[size > 0]), default=0)
+    assert len(load) <= 2 * -(-int(size.sum()) // 100) + 1 + most
+    strict = fill_rows.pack_shard(np.arange(len(items)), size, source, cluster, 100, apart=True)
+    held = [(b, s) for b, s, n in zip(strict.tolist(), source.tolist(), size.tolist()) if n]
+    assert len(held) == len(set(held))
 
 
-def test_copies_are_kept_apart_without_cost():
+def test_copies_are_kept_apart():
     size = np.array([40] * 4 + [30] * 8 + [20] * 6)
     cluster = np.array([1] * 4 + list(range(10, 18)) + list(range(20, 26)))
     bins = fill_rows.pack_shard(np.arange(18), size, np.zeros(18, np.int64), cluster, 100)
     assert len(set(bins[:4])) == 4 and bins.max() + 1 == -(-size.sum() // 100)
+    six = fill_rows.pack_shard(np.arange(6), np.full(6, 1000), np.zeros(6, np.int64), np.ones(6, np.int64), 2048)
+    assert len(set(six)) == 6
+
+
+def test_clusters_of_texts():
+    same = {fill_rows.text_cluster(t) for t in ("The run, is OK.", "the RUN is ok", "  the run\nis - ok!")}
+    assert len(same) == 1 and fill_rows.text_cluster("the run is not ok") not in same
+    assert fill_rows.text_cluster(None) is fill_rows.text_cluster("") is fill_rows.text_cluster(" ... ") is None
+
+
+def test_rows_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(fill_rows, "SHARD_TOKENS", 4000)
+    df = spark.createDataFrame([(i, i * 37 % 700 + 1, f"s{i % 3}", i // 2) for i in range(200)], "k bigint, n bigint, s string, c bigint")
+    got = [{(r.k, r.piece_no): (r.row_id, r.slot) for r in fill_rows.pack_rows(df.repartition(n), "k", "n", "s", "c").collect()} for n in (1, 3, 11)]
+    assert got[0] == got[1] == got[2] and len({row >> 40 for row, _ in got[0].values()}) > 5
 
 
 def test_rows_of_oversized_and_empty(spark):
-    df = spark.createDataFrame([(1, 5000, "a", 1), (2, 0, None, 2), (3, None, "b", None), (4, 2048, "a", 4), (5, 100, "a", 5)], "k bigint, n bigint, s string, c bigint")
+    df = spark.createDataFrame([(1, 5000, "a", 1), (2, 0, None, 2), (3, None, "b", None), (4, 2048, "a", 4), (5, 100, "a", 5), (None, 7, "a", 5)], "k bigint, n bigint, s string, c bigint")
     out = fill_rows.pack_rows(df, "k", "n", "s", "c").collect()
     per = {}
     for r in out:
