@@ -24,16 +24,6 @@ _FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
 _WORDS = re.compile(r"[^\W_]+")
 _CLOSING = "\"'”’»)]}*_` \t"
 
-#: Ways to say that an answer is refused, in the four languages.
-_REFUSALS = re.compile(
-    r"(?:can(?:no|')t|can not|could not|won't|will not|unable to|not able to|not going to|rather not|not allowed to|mustn't|may not) (?:be )?(?:\w+ )?(?:help|assist|answer|discuss|provid|shar|comply|go into|do that|respond|offer|talk|support|give|fulfil|address)"
-    r"|(?:must|have to|need to|will|shall) (?:politely |respectfully )?(?:pass|decline|refuse|refrain)|i decline|i refuse|no answer can be given|outside (?:of )?what i (?:may|can)|(?:rules|guidelines|polic(?:y|ies)) (?:leave|forbid|prevent|do not|don't|prohibit)"
-    r"|wrong of me to|against (?:my|the) (?:rules|guidelines|polic)"
-    r"|(?:kann|darf|werde|möchte|will|könnte) (?:ich )?(?:\S+ ){0,3}?nicht(?:s)? (?:\S+ ){0,2}?(?:helfen|eingehen|sagen|antworten|beantworten|nachkommen|liefern|geben|äußern|dienen|weiterhelfen)|muss ich (?:leider )?(?:passen|ablehnen)|das lehne ich ab|(?:regeln|richtlinien|vorgaben) (?:lassen|verbieten|erlauben|untersagen)|keine auskunft|keine antwort geben"
-    r"|ne (?:peux|puis|vais|veux|souhaite|pourrai|saurais) (?:malheureusement )?pas (?:\S+ ){0,3}?(?:aider|répondre|fournir|aborder|discuter|traiter|donner)|ne fournirai pas|impossible d'(?:aborder|y répondre|aider)|(?:consignes|règles) (?:m'|ne |l')\S*(?:interdisent|permettent|empêchent)|passe mon tour|préfère ne pas|dois (?:refuser|décliner|m'abstenir)"
-    r"|no (?:puedo|voy a|podré|debo|quiero) (?:\S+ ){0,2}?(?:ayudar\w*|responder\w*|contestar\w*|facilitar\w*|tratar\w*|proporcionar\w*|hablar|dar\w*)|no me es posible|debo (?:abstenerme|rechazar|declinar|negarme)|(?:normas|reglas|pautas) me (?:impiden|prohíben)|queda fuera de lo que puedo|prefiero no"
-)
-
 #: Language names by which a question asks for another language.
 _NAMES = {
     "en": "english|englisch\\w*|anglais|inglés|inglesa", "de": "german|deutsch\\w*|allemand|alemán|alemana",
@@ -75,42 +65,86 @@ def is_echo(question: str, answer: str) -> bool:
     return False
 
 
-def _edit_share(x: str, y: str) -> float:
-    """Edit distance over the greater length, by rows of numpy; long texts are compared by words."""
-    a, b = (np.array([hash(w) for w in t.split(" ")]) if len(x) + len(y) > 4000 else np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+def _edit_share(x: str, y: str, most: float = 0.15) -> float:
+    """Edit distance of characters over the greater length; 1 as soon as it must exceed ``most``.
+
+    Only the band of places that few enough edits can reach is computed, row by row in numpy, at any length.
+    """
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
     if len(a) > len(b):
         a, b = b, a
-    row, steps = np.arange(len(b) + 1), np.arange(len(b) + 1)
+    k = int(most * len(b)) + 1
+    if len(b) - len(a) > k:
+        return 1.0
+    far = len(b) + k
+    row = np.where(np.arange(len(b) + 1) <= k, np.arange(len(b) + 1), far)
     for i, c in enumerate(a, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (b != c))
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
+        low, high = max(i - k, 1), min(i + k, len(b))
+        steps = np.arange(high - low + 1)
+        best = np.minimum(row[low : high + 1] + 1, row[low - 1 : high] + (b[low - 1 : high] != c))
+        first = i if low == 1 else far
+        best[0] = min(best[0], first + 1)
+        row[low - 1] = first
+        row[low : high + 1] = np.minimum.accumulate(best - steps) + steps
+        if row[low : high + 1].min() > k and first > k:
+            return 1.0
     return row[-1] / max(len(b), 1)
 
 
-def is_refusal(answer: str) -> bool:
-    """An answer of any length that declines and in which every sentence only declines, apologizes, explains that or offers other help."""
-    text = answer.strip().lower().replace("’", "'")
-    if not _REFUSALS.search(text):
-        return False
-    return refusal_log_odds(text) > 0
-
+#: Mean log-odds of ``SPAN`` words in a row from which they decline, of a sentence from which it goes with a refusal, and of
+#: a word that neither class has.
+DECLINES, SUPPORTS, SPAN, UNKNOWN = 2.0, 0.0, 4, -0.4
 
 _MODEL: list[dict[str, float]] = []
 
 
-def refusal_log_odds(text: str) -> float:
-    """Least, over the sentences of an answer, of the mean log-odds of its words to stand in refusals."""
+def sentences(text: str) -> list[list[str]]:
+    """Words in lower case of the sentences of more than two words."""
+    parts = re.split(r"(?<=[.!?…])\s+|\n+", text.strip().lower().replace("’", "'"))
+    return [w for w in (re.findall(r"[^\W\d_]+", x) for x in parts) if len(w) > 2]
+
+
+def grams(words: list[str]) -> list[str]:
+    return [*words, *map(" ".join, zip(words, words[1:]))]
+
+
+def refusal_log_odds(words: list[str], odds: dict[str, float]) -> tuple[float, float]:
+    """(mean log-odds of a sentence, the greatest of any ``SPAN`` words in a row) to stand in refusals, by words and pairs of words.
+
+    Pairs that the model does not know say nothing beside their words; of a sentence of mostly unknown words nothing is known.
+    """
+    if 2 * sum(w in odds for w in words) <= len(words):
+        return -9.0, -9.0
+    own = [odds.get(w, UNKNOWN) for w in words]
+    pair = [odds.get(f"{a} {b}") for a, b in zip(words, words[1:])]
+    best, n = -9.0, len(words)
+    for i in range(max(1, n - SPAN + 1)):
+        seen = own[i : i + SPAN] + [x for x in pair[i : i + SPAN - 1] if x is not None]
+        best = max(best, sum(seen) / len(seen))
+    seen = own + [x for x in pair if x is not None]
+    return sum(seen) / len(seen), best
+
+
+def refuses(answer: str, odds: dict[str, float]) -> bool:
+    declined = False
+    for words in sentences(answer):
+        mean, best = refusal_log_odds(words, odds)
+        if best > DECLINES:
+            declined = True
+        elif mean <= SUPPORTS:
+            return False
+    return declined
+
+
+def is_refusal(answer: str) -> bool:
+    """An answer of any length in which a sentence declines and every other one declines too, apologizes, explains that or offers other help.
+
+    The verdict is that of a naive Bayes classifier of words and pairs of words, sentence by sentence.
+    """
     if not _MODEL:
         with np.load(char_models.MODEL.replace("char_models", "refusal_words")) as f:
             _MODEL.append(dict(zip(f["words"].tolist(), f["odds"].tolist())))
-    odds = _MODEL[0]
-    worst = 9.0
-    for sentence in re.split(r"(?<=[.!?…])\s+|\n+", text):
-        words = re.findall(r"[^\W\d_]+", sentence)
-        if len(words) > 2:
-            grams = [*words, *map(" ".join, zip(words, words[1:]))]
-            worst = min(worst, sum(odds.get(g, -0.7) for g in grams) / len(grams))
-    return worst
+    return refuses(answer, _MODEL[0])
 
 
 def natural_language(scores: np.ndarray, lengths: np.ndarray) -> tuple[str | None, float]:
@@ -127,8 +161,8 @@ _ITEM = re.compile(r"\s*(?:[-*+•‣▪◦·→–—]\s|\[[ xX]\]|\(?(?:\d{1,3
 _EMPTY_ITEM = re.compile(r"\s*(?:[-*+•‣▪◦·→–—]|\[[ xX]?\]?|\(?(?:\d{1,3}|[a-zA-Z])[.):])+\s*$")
 
 
-#: Words of an answer that may be an informal one of several sentences, and the likelihood from which an end is taken for one.
-SHORT, LIKELY_END = 12, 0.2
+#: Likelihood from which an end is taken for one: of a text of several sentences, of a list item or bare line, of a single sentence.
+LIKELY_END, LIKELY_ITEM, LIKELY_SHORT = 0.2, 0.02, 0.01
 
 
 def truncation(answer: str, models: CharModels) -> str | None:
@@ -162,20 +196,20 @@ def truncation(answer: str, models: CharModels) -> str | None:
         return None
     if end in ",:;–—([{\\&" or end == "-" and len(tail) > 1 and tail[-2].isalnum():
         return "sentence"
-    probability = models.end_probability(tail)
-    unlikely = probability is not None and probability < 0.02
+    # no mark ends the text: the end-of-text likelihood of its last characters decides, by what kind of text it ends
     bare = not listed and len(lines) > 2 and all(x.rstrip()[-1:] not in ".!?" for x in lines[-3:])
+    several = re.search(r"[.!?…][\"'”»)]*\s+\S", last) or re.search(r"[.!?…][\"'”»)]*$", before)
+    probability = models.end_probability(tail)
+    if probability is None:
+        return None
     if listed or bare:
-        return "list" if unlikely else None
-    sentences = re.search(r"[.!?…][\"'”»)]*\s+\S", last) or re.search(r"[.!?…][\"'”»)]*$", before)
-    if sentences and len(_WORDS.findall(tail)) >= 3:
-        if probability is None:  # no known ending: without a full stop, only a short answer counts as complete
-            return "sentence" if len(_WORDS.findall(text)) > SHORT else None
+        return "list" if probability < LIKELY_ITEM else None
+    if several and len(_WORDS.findall(tail)) >= 3:
         return "sentence" if probability < LIKELY_END else None
     if any(c.isdigit() or c == "_" for c in tail.split()[-1]):
         return None  # a short informal answer that names something
     probability = models.end_probability(tail, least=30, shortest=6)
-    return "sentence" if probability is not None and probability < 0.01 else None
+    return "sentence" if probability is not None and probability < LIKELY_SHORT else None
 
 
 def judge(questions: list[str | None], answers: list[str | None], models: CharModels, common: frozenset[str], kinds: text_stats.BoostedTrees) -> list[str | None]:
@@ -252,24 +286,23 @@ def answer_pairs(messages: DataFrame) -> DataFrame:
     """(msg_id, answer, question, asked): assistant messages with the nearest earlier user message of their conversation.
 
     Messages are ordered by turn, then msg_id; a message that was delivered repeatedly counts once. Answers without an
-    earlier user message have no row. Conversations are hash-partitioned in blocks of ``TURNS`` turns, so that one very
-    long conversation does not fall into one task; only if there are such conversations, the last user message of earlier
-    blocks is looked up by a join.
+    earlier user message, and messages without a conversation, have no row. Conversations are hash-partitioned in blocks of ``TURNS``
+    turns, so that one very long conversation does not fall into one task; the last user message of earlier blocks is joined
+    to the blocks that begin without one, whose partitioning is that of the join.
     """
-    base = messages.select("msg_id", "conv_id", "turn", side(F.col("role")).alias("who"), "content").where("who is not null")
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / TURNS).alias("block")
-    base = base.select("*", block)
+    base = messages.select("msg_id", "conv_id", "turn", side(F.col("role")).alias("who"), "content").where("who is not null and conv_id is not null")
+    base = base.select("*", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / TURNS).alias("block"))
     w = W.partitionBy("conv_id", "block").orderBy("turn", "msg_id")
     question = F.last(F.when(F.col("who") == "user", F.struct(F.col("content").alias("text"))), ignorenulls=True).over(w)
     ordered = base.select("*", question.alias("question"), F.lag("msg_id").over(w).alias("before"))
     answers = ordered.where("who = 'assistant' and (before is null or before <> msg_id)").drop("before", "who", "turn")
-    if messages.where(F.col("turn") >= TURNS).limit(1).count():
-        last = base.where("who = 'user'").groupBy("conv_id", "block").agg(F.max_by(F.struct(F.col("content").alias("text")), F.struct("turn", "msg_id")).alias("own"))
-        open_ = answers.where("question is null").select("conv_id", "block").distinct()
-        all_blocks = last.unionByName(open_.withColumn("own", F.lit(None).cast("struct<text:string>"))).groupBy("conv_id", "block").agg(F.first("own", ignorenulls=True).alias("own"))
-        earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-        carried = all_blocks.select("conv_id", "block", F.last("own", ignorenulls=True).over(earlier).alias("carried"))
-        answers = answers.join(carried, ["conv_id", "block"], "left").withColumn("question", F.coalesce("question", "carried"))
+    # only conversations with later blocks have anything to carry; the filter on turns reaches the scan
+    long = messages.where(F.col("turn") >= TURNS).select("conv_id").distinct()
+    blocks = base.join(long, "conv_id", "left_semi").groupBy("conv_id", "block").agg(
+        F.max_by(F.struct(F.col("content").alias("text")), F.when(F.col("who") == "user", F.struct("turn", "msg_id"))).alias("own"))
+    earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select("conv_id", "block", F.last("own", ignorenulls=True).over(earlier).alias("carried"))
+    answers = answers.join(carried, ["conv_id", "block"], "left").withColumn("question", F.coalesce("question", "carried"))
     return answers.where("question is not null").select("msg_id", F.col("content").alias("answer"), F.col("question.text").alias("question"))
 
 

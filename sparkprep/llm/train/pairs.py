@@ -1,16 +1,13 @@
-"""Fits models/char_models.npz and models/refusal_words.npz: ``python -m sparkprep.llm.train.pairs DATA_DIR``.
+"""Fits models/char_models.npz: ``python -m sparkprep.llm.train.pairs DATA_DIR``.
 
 Languages are learned from the labels of the conversations (some are wrong; naive Bayes does not mind), code from fenced
-blocks and from lines the kind model takes for code or tables. At most ``BOUND`` messages are read. Refusals are labelled
-weakly: sentences of short answers in which one of the fixed phrases declines, against sentences of all other answers.
+blocks and from lines the kind model takes for code or tables. At most ``BOUND`` messages are read.
 """
 
 from __future__ import annotations
 
 import random
-import re
 import sys
-from collections import Counter
 
 import numpy as np
 
@@ -63,20 +60,6 @@ def main(data: str) -> None:
     print("suffixes", len(ends[0]))
     char_models.CharModels(table, *ends).save()
 
-    yes, no = Counter(), Counter()
-    answers = [answer_defects.answer_part(t).strip().lower().replace("’", "'") for _, r, t, _ in rows if r in ("assistant", "gpt", "bot")]
-    for t in answers:
-        declines = len(t) < 260 and answer_defects._REFUSALS.search(t) is not None
-        for sentence in re.split(r"(?<=[.!?…])\s+|\n+", t):
-            words = re.findall(r"[^\W\d_]+", sentence)
-            (yes if declines else no).update({*words, *map(" ".join, zip(words, words[1:]))})
-    ny, nn = sum(yes.values()), sum(no.values())
-    kept = sorted(w for w in {*yes, *no} if yes[w] + no[w] >= 3)
-    odds = [float(np.log((yes[w] + 0.3) / (ny + 1)) - np.log((no[w] + 0.3) / (nn + 1))) for w in kept]
-    order = [i for i, w in enumerate(kept) if yes[w] >= 1 or no[w] >= 40]
-    np.savez_compressed(char_models.MODEL.replace("char_models", "refusal_words"), words=np.array([kept[i] for i in order]), odds=np.array([odds[i] for i in order], np.float32))
-    print("refusal words", len(order), "of answers", len(answers))
-
 
 if __name__ == "__main__":
     main(*sys.argv[1:])

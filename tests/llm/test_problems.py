@@ -49,6 +49,23 @@ def test_pairs_and_defects(spark):
     assert answer_defects.answer_defects(df.limit(0), COMMON).count() == 0
 
 
+@pytest.mark.parametrize("text", ["That is a question I leave to professionals.", "Sorry, this is not something I do.", "As an AI language model, that request goes beyond my limits.", "Dazu möchte ich mich nicht äußern.", "Je ne peux pas t'aider sur ce point."])
+def test_refusals_in_other_words(text):
+    assert answer_defects.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["Sorry, the loader can't open the file because the path is wrong.", "You cannot pass a null here.", "The reader keeps the file. I can't help you with the rest.", "", "Yes."])
+def test_answers_that_are_no_refusals(text):
+    assert not answer_defects.is_refusal(text)
+
+
+def test_truncation_is_the_models():
+    model = char_models.load()
+    cut = "The loader keeps the average in every run. The packer copies the leftover tokens of the"
+    assert answer_defects.truncation(cut, model) == "sentence"
+    assert answer_defects.truncation(cut, char_models.CharModels(model.table, *[x[:1] for x in (model.keys, model.ends, model.seen)])) is None
+
+
 def test_refusals_of_any_length():
     text = "I'm sorry, but I can't help with this. Please ask someone qualified."
     assert answer_defects.is_refusal(text) and answer_defects.is_refusal(" ".join([text] * 9))
