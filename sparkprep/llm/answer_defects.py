@@ -296,10 +296,8 @@ def answer_pairs(messages: DataFrame) -> DataFrame:
     question = F.last(F.when(F.col("who") == "user", F.struct(F.col("content").alias("text"))), ignorenulls=True).over(w)
     ordered = base.select("*", question.alias("question"), F.lag("msg_id").over(w).alias("before"))
     answers = ordered.where("who = 'assistant' and (before is null or before <> msg_id)").drop("before", "who", "turn")
-    # only conversations with later blocks have anything to carry; the filter on turns reaches the scan
-    long = messages.where(F.col("turn") >= TURNS).select("conv_id").distinct()
-    blocks = base.join(long, "conv_id", "left_semi").groupBy("conv_id", "block").agg(
-        F.max_by(F.struct(F.col("content").alias("text")), F.when(F.col("who") == "user", F.struct("turn", "msg_id"))).alias("own"))
+    # the last question of each block comes from the same exchange; one row a block is moved
+    blocks = ordered.groupBy("conv_id", "block").agg(F.max_by("question", F.struct("turn", "msg_id")).alias("own"))
     earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = blocks.select("conv_id", "block", F.last("own", ignorenulls=True).over(earlier).alias("carried"))
     answers = answers.join(carried, ["conv_id", "block"], "left").withColumn("question", F.coalesce("question", "carried"))
