@@ -160,3 +160,21 @@ def encode_documents(df: DataFrame, key: str, text: str, path: str, special: boo
 
     slim = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     return slim.mapInArrow(run, "k bigint, ids array<int>").withColumnRenamed("k", key)
+
+
+def decode_documents(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
+    """(key, text): the text of each id array; null and empty arrays give the empty text. Unknown ids stand for nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load_model(path)
+        known: dict[int, bytes] = {}
+        for batch in batches:
+            out = []
+            for own in batch.column(1).to_pylist():
+                for i in set(own or ()) - known.keys():
+                    known[i] = model.token_bytes(i)
+                out.append(b"".join(known[i] for i in own or ()).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "text"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

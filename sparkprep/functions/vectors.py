@@ -135,3 +135,8 @@ def pair_permutation(n: int, rope_dim: int) -> list[int]:
 def fixed_matrix(rows: int, columns: int) -> list[list[float]]:
     """A deterministic weight matrix for demonstrations: rounded cosines."""
     return [[round(math.cos(r * columns + c), 6) for c in range(columns)] for r in range(rows)]
+
+
+def sum_of(vector: Column, weight: Column, dim: int) -> Column:
+    """Aggregate: the sum of ``weight`` times ``vector`` over a group's rows, place by place."""
+    return F.array(*[F.sum(weight * F.get(vector, F.lit(i))) for i in range(dim)])

@@ -64,3 +64,34 @@ def split_rows(matrix: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
 def low_rank_update(weight: np.ndarray, a: np.ndarray, b: np.ndarray, alpha: float) -> np.ndarray:
     """weight + alpha / rank * b @ a"""
     return weight + alpha / a.shape[0] * (b @ a)
+
+
+def row_parts(rows: DataFrame, row: str, sizes: list[tuple[str, int]]) -> DataFrame:
+    """``rows`` with ``part`` and ``part_row``: consecutive runs of a fused matrix's rows by the sizes given, in their order.
+
+    Rows beyond the sizes, and null rows, have no part; a caller compares the counts with the sizes.
+    """
+    part, at, base = F.lit(None).cast("string"), 0, F.lit(None).cast("bigint")
+    r = F.col(row)
+    for name, size in reversed(list(sizes)):
+        end = sum(n for _, n in sizes[: [s[0] for s in sizes].index(name) + 1])
+        at = end - size
+        part = F.when((r >= at) & (r < end), name).otherwise(part)
+        base = F.when((r >= at) & (r < end), r - at).otherwise(base)
+    return rows.withColumns({"part": part, "part_row": base.cast("bigint")})
+
+
+def negligible(values: Column, eps: float = 1e-6) -> Column:
+    """Whether no value's magnitude passes ``eps``; null and empty arrays are negligible."""
+    return F.coalesce(F.array_max(F.transform(values, lambda x: F.abs(x))), F.lit(0.0)) <= eps
+
+
+def storage_choice(ne0: Column, wanted: Column, per_block: Column) -> Column:
+    """The storage type of a tensor: the wanted one if rows are whole blocks of it, else F16 (1)."""
+    return F.when(ne0 % per_block == 0, wanted).otherwise(1)
+
+
+def is_subset(part: Column, whole: Column) -> Column:
+    """Whether all items of an array are in another; null counts as no items."""
+    none = F.array().cast("array<string>")
+    return F.size(F.array_except(F.coalesce(part, none), F.coalesce(whole, none))) == 0

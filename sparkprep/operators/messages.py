@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import answer_part, normalized_role, pretoken_count, think_part
+from ..session import kept
 
 ROLE_TOKENS = 1
 END_TOKENS = 1
@@ -60,7 +61,7 @@ def segments(normalized: DataFrame) -> DataFrame:
 
 
 def crop(segs: DataFrame, max_len: int) -> DataFrame:
-    """Segments with ``kept``, their tokens after cropping to ``max_len`` tokens, and ``status`` of the conversation.
+    """Segments with ``kept``, their tokens after cropping to ``max_len`` tokens, and ``status`` of the conversation; ``ids`` stay if there are any.
 
     Too long conversations lose their earliest reasoning tokens, over all turns, as many as they are too long; answers and
     prompts are never cut. ``overflow``: not enough reasoning to cut (checked first); ``skip``: no token with loss.
@@ -72,7 +73,7 @@ def crop(segs: DataFrame, max_len: int) -> DataFrame:
     out = out.withColumns({"reasoning": F.sum("think").over(conv), "earlier": F.coalesce(F.sum("think").over(before), F.lit(0)), "excess": F.greatest(F.col("total") - max_len, F.lit(0))})
     status = F.when(F.col("excess") > F.col("reasoning"), "overflow").when(F.col("masked") - F.col("excess") <= 0, "skip").otherwise("ok")
     dropped = F.least(F.col("think"), F.greatest(F.col("excess") - F.col("earlier"), F.lit(0)))
-    return out.select("conv_id", "turn", "msg_id", "part", "segment", "n_tokens", "loss", "is_answer", (F.col("n_tokens") - dropped).alias("kept"), "excess", status.alias("status"))
+    return out.select("conv_id", "turn", "msg_id", "part", "segment", "n_tokens", "loss", "is_answer", (F.col("n_tokens") - dropped).alias("kept"), "excess", status.alias("status"), *[c for c in segs.columns if c == "ids"])
 
 
 def label_mask(ids: Column, mask: Column, shift: int = 0) -> Column:
@@ -84,7 +85,7 @@ def label_mask(ids: Column, mask: Column, shift: int = 0) -> Column:
 def collate(rows: DataFrame, key: str, n: str, batch: int, drop_last: bool = False) -> DataFrame:
     """(batch_id, position, key, n, width, padding): consecutive batches of ``batch`` rows in key order, each as wide as its longest.
 
-    Ranks come from counts of key ranges, so no single task sorts all rows.
+    Ranks come from counts of sampled key ranges, so no single task sorts all rows, and the input is computed once.
     """
     ranked = global_rank(rows, key)
     out = ranked.withColumns({"batch_id": F.floor(F.col("rank") / batch), "position": F.col("rank") % batch})
@@ -95,26 +96,16 @@ def collate(rows: DataFrame, key: str, n: str, batch: int, drop_last: bool = Fal
     return out.select("batch_id", "position", key, n, "width", (F.col("width") - F.col(n)).alias("padding"))
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int = 4096) -> Column:
-    """Number, rising with the key, of one of at most ``buckets`` + 1 ranges: leading hex digits, or even cuts of integers.
-
-    Null is the first range. Bounds of integers are a scalar subquery.
-    """
-    if dict(df.dtypes)[key] == "string":
-        return F.coalesce(F.conv(F.substring(F.col(key), 1, 3), 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
-    low, high = df.agg(F.min(key)).scalar(), df.agg(F.max(key)).scalar()
-    return F.coalesce(F.floor((F.col(key) - low) / F.ceil((high - low + 1) / buckets)), F.lit(-1).cast("bigint"))
-
-
 def global_rank(df: DataFrame, *keys: str) -> DataFrame:
     """Rows with ``rank``, their 0-based place in the order of ``keys``, which must be unique; null keys come first.
 
-    A rank is the place inside a range of the first key plus the counts of the ranges before; only the counts, of which
-    there is a fixed number, meet in one task. The first key is an integer or a string of hex digits.
+    The rows are computed once and kept; Spark samples ranges of the keys and sorts each, so skewed keys share no task. A rank
+    is the place inside a range plus the counts of the ranges before; only these counts, one a partition, meet in one task.
     """
-    marked = df.withColumn("__bucket", range_bucket(df, keys[0]))
-    counts = marked.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__bucket").orderBy(*keys)) - 1
-    return marked.withColumn("__inside", inside).join(counts, "__bucket").withColumn("rank", F.col("__before") + F.col("__inside")).drop("__bucket", "__inside", "__before")
+    ranged = kept(df).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(counts, part == F.col("__part")).withColumn("rank", F.col("__before") + inside).drop("__at", "__part", "__before")

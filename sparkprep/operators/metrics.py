@@ -65,3 +65,30 @@ def early_stopping(evaluations: DataFrame, group: str, patience: int, min_delta:
 
 def weighted_loss(loss: Column, weight: Column) -> Column:
     return F.sum(loss * weight) / F.greatest(F.sum(weight), F.lit(1e-8))
+
+
+def split_eval(rows: DataFrame, batch: str, loss: str, answer: str, most: int | None = None) -> DataFrame:
+    """(n_batches, loss, think_loss, answer_loss): means of the batches' means, over all tokens and over either kind.
+
+    ``answer`` is 1 for tokens of answers, 0 for reasoning. Batches without tokens of a kind do not count for it; without any the
+    mean is NaN. ``loss`` is 0 without batches. Only the first ``most`` batches (by number) count.
+    """
+    x, own = F.col(loss), F.col(answer)
+    kept = rows if most is None else rows.where(F.col(batch) < most)
+    per = kept.groupBy(batch).agg(F.avg(x).alias("m"), F.avg(F.when(own == 0, x)).alias("t"), F.avg(F.when(own == 1, x)).alias("a"))
+    nan = F.lit(float("nan"))
+    return per.agg(
+        F.count(F.lit(1)).alias("n_batches"), F.round(F.coalesce(F.avg("m"), F.lit(0.0)), 6).alias("loss"),
+        F.round(F.coalesce(F.avg("t"), nan), 6).alias("think_loss"), F.round(F.coalesce(F.avg("a"), nan), 6).alias("answer_loss"),
+    )
+
+
+def split_log_windows(rows: DataFrame, step: str, loss: str, tokens: str, answer: str, every: int = 50) -> DataFrame:
+    """(window, loss, think_loss, answer_loss) of a log: the mean over steps, and means weighted by tokens of either kind (0 without)."""
+    x, n, own = F.col(loss), F.col(tokens), F.col(answer)
+
+    def weighted(kind: int) -> Column:
+        return F.round(F.coalesce(F.sum(F.when(own == kind, x * n)), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(F.when((own == kind) & x.isNotNull(), n)), F.lit(0)), F.lit(1)), 6)
+
+    key = F.floor((F.col(step) - 1) / every).alias("window")
+    return rows.groupBy(key).agg(F.round(F.avg(x), 6).alias("loss"), weighted(0).alias("think_loss"), weighted(1).alias("answer_loss"))

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pretoken_count
 from ..order import stable_key
-from .messages import global_rank, range_bucket
+from ..session import kept
+from .messages import global_rank
 
 CHUNK_TOKENS, LEAST_TOKENS = 7800, 64
 
 
+#: Fixed value: white space of Unicode, beyond which a text is not blank.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def not_blank(text: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", "")) > 0
+    """Whether anything is left of a text without white space at its ends; false for null."""
+    return F.length(F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))) > 0
 
 
 def chunks(docs: DataFrame, size: int = CHUNK_TOKENS, least: int = LEAST_TOKENS) -> DataFrame:
@@ -42,9 +48,9 @@ def budgeted_mix(tokens: DataFrame, budget: Column, seed: int = 1234, buckets: i
     In the stable order of a source, a document is kept while the tokens before it stay under the budget; the last one may
     pass it. ``place`` is the document's share of its budget, by which sources interleave. Sources with budget 0 or less, and
     null sources, are never kept. Prefix sums run in two levels (hash ranges of a source, then inside), so that a source
-    with a third of all rows does not fall into one task.
+    with a third of all rows does not fall into one task. Counts of tokens are computed once and kept for both levels.
     """
-    keyed = tokens.withColumns({"budget": budget, "k": stable_key(seed, "doc_id")}).where("budget > 0")
+    keyed = kept(tokens.withColumns({"budget": budget, "k": stable_key(seed, "doc_id")}).where("budget > 0"))
     keyed = keyed.withColumn("b", F.conv(F.substring("k", 1, 2), 16, 10).cast("int") % buckets)
     sums = keyed.groupBy("source", "b").agg(F.sum("n").alias("s"))
     earlier = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
@@ -58,16 +64,15 @@ def budgeted_mix(tokens: DataFrame, budget: Column, seed: int = 1234, buckets: i
 def interleave(docs: DataFrame, subset: str) -> DataFrame:
     """(doc_id, subset, turn): one document of each subset in turn, in doc_id order, until the first subset is used up.
 
-    Null subsets take no part. Ranks run in two levels as in ``budgeted_mix``.
+    Null subsets take no part. The order of (subset, doc_id) is ranked globally by sampled ranges, and a document's turn is its rank
+    less the rows of the subsets before, so a subset with a third of all rows is spread over many tasks. One scan.
     """
-    named = docs.where(F.col(subset).isNotNull()).select("doc_id", subset)
-    named = named.withColumn("b", range_bucket(named, "doc_id"))
-    sizes = named.groupBy(subset, "b").agg(F.count(F.lit(1)).alias("s"))
-    earlier = W.partitionBy(subset).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    base = sizes.select(subset, "b", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
-    least = sizes.groupBy(subset).agg(F.sum("s").alias("s")).agg(F.min("s")).scalar()
-    ranked = named.withColumn("own", F.row_number().over(W.partitionBy(subset, "b").orderBy("doc_id"))).join(base, [subset, "b"])
-    return ranked.withColumn("turn", F.col("base") + F.col("own")).where(F.col("turn") <= least).select("doc_id", subset, "turn")
+    named = kept(docs.where(F.col(subset).isNotNull()).select("doc_id", subset))
+    sizes = named.groupBy(subset).agg(F.count(F.lit(1)).alias("s"))
+    earlier = W.orderBy(subset).rowsBetween(W.unboundedPreceding, -1)
+    base = sizes.select(subset, F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"), F.min("s").over(W.partitionBy()).alias("least"))
+    ranked = global_rank(named, subset, "doc_id").join(base, subset)
+    return ranked.withColumn("turn", F.col("rank") - F.col("base") + 1).where("turn <= least").select("doc_id", subset, "turn")
 
 
 def stratified_sample(docs: DataFrame, stratum: str, target: int, seed: int = 1234) -> DataFrame:
@@ -76,11 +81,11 @@ def stratified_sample(docs: DataFrame, stratum: str, target: int, seed: int = 12
     Null is a stratum. Totals may stay below the target by the floors. Only hash ranges that can hold the limit are ranked
     together; each range is one task's work.
     """
-    keyed = docs.select("doc_id", stratum, stable_key(seed, "doc_id").alias("k")).withColumn("b", F.substring("k", 1, 2))
+    keyed = kept(docs.select("doc_id", stratum, stable_key(seed, "doc_id").alias("k"))).withColumn("b", F.substring("k", 1, 2))
     sizes = keyed.groupBy(stratum, "b").agg(F.count(F.lit(1)).alias("s"))
     earlier = W.partitionBy(stratum).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(stratum)
-    total = docs.agg(F.count(F.lit(1))).scalar()
+    total = keyed.agg(F.count(F.lit(1))).scalar()
     base = sizes.withColumns({"base": F.coalesce(F.sum("s").over(earlier), F.lit(0)), "size": F.sum("s").over(whole)})
     base = base.select(F.col(stratum).alias("st"), F.col("b").alias("bb"), "base", F.floor(F.lit(target) * F.col("size") / total).alias("take")).where("base < take")
     ranked = keyed.withColumn("own", F.row_number().over(W.partitionBy(stratum, "b").orderBy("k", "doc_id")))
@@ -98,7 +103,7 @@ def train_val_split(docs: DataFrame, fraction: float = 0.05, seed: int = 42) ->
 
     With fraction 0, or where the validation part would take all rows, everything is 'train'.
     """
-    keyed = docs.select("doc_id", stable_key(seed, "doc_id").alias("k"))
-    n = docs.agg(F.count(F.lit(1))).scalar()
+    keyed = kept(docs.select("doc_id", stable_key(seed, "doc_id").alias("k")))
+    n = keyed.agg(F.count(F.lit(1))).scalar()
     val = F.when(F.lit(fraction) > 0, F.greatest(F.lit(1), F.floor(n * fraction))).otherwise(0)
     return global_rank(keyed, "k", "doc_id").select("doc_id", F.when((val < n) & (F.col("rank") < val), "val").otherwise("train").alias("split"))

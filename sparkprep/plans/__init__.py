@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import corpus, engine, models, numeric
+    from . import corpus, engine, models, numeric, records
 
-    return {**corpus.QUERIES, **numeric.QUERIES, **models.QUERIES, **engine.QUERIES}
+    return {**corpus.QUERIES, **numeric.QUERIES, **models.QUERIES, **engine.QUERIES, **records.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

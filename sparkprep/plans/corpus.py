@@ -54,7 +54,7 @@ _CROP = f"""{_SEGMENTS}, sums AS (SELECT *, CASE WHEN loss = 1 AND is_answer = 0
       CASE WHEN excess > reasoning THEN 'overflow' WHEN masked - excess <= 0 THEN 'skip' ELSE 'ok' END AS status FROM sums2)"""
 MAX_LEN = 512
 
-_BLANK = "length(regexp_replace(coalesce(text, ''), '^[ \\t\\n\\x0B\\f\\r]+', '')) > 0"
+_BLANK = r"length(regexp_replace(coalesce(text, ''), '^[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '')) > 0"
 _DOC_TOKENS = f"""counted AS (SELECT doc_id, source, len({sql_pretokens("text")})::BIGINT AS t FROM documents WHERE {_BLANK}),
   tokens AS (SELECT doc_id, source, t - CASE WHEN t % 7800 < 64 THEN t % 7800 ELSE 0 END AS n FROM counted WHERE t - CASE WHEN t % 7800 < 64 THEN t % 7800 ELSE 0 END > 0)"""
 #: Tokens kept of each source in the demonstration of the mix.
@@ -200,7 +200,7 @@ def pack_utilization(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PACK = f"""lens AS (SELECT doc_id, coalesce(len({sql_pretokens("text")}), 0)::BIGINT AS n, md5('1234:' || doc_id) AS k FROM documents),
-  items AS (SELECT *, least(n, 2048) AS used, (('0x' || substr(k, 1, 4))::BIGINT % 256) AS shard FROM lens),
+  items AS (SELECT *, least(n, 2048) AS used, (('0x' || substr(k, 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / 4096.0))::BIGINT) AS shard FROM lens),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) AS rn FROM items),
   packed AS (SELECT shard, rn, doc_id, n, used, 0::BIGINT AS bin, used AS fill FROM ranked WHERE rn = 1
     UNION ALL SELECT r.shard, r.rn, r.doc_id, r.n, r.used, p.bin + CASE WHEN p.fill + r.used > 2048 THEN 1 ELSE 0 END,

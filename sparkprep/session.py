@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +28,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared folder: its plan is one scan for all that follows."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_role
+from ..operators.mixing import BLANKS
 
 _MESSAGE = "array<struct<role:string,content:string,from:string,value:string>>"
 
@@ -14,9 +15,9 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines with ``status`` and normalized ``messages`` (role, content).
 
     A line holds an object with ``messages`` or ``conversations``, or the list itself. Status: ``blank``, ``malformed`` (no
-    JSON), ``empty`` (no usable message) or ``ok``. Keys are role and content, or from and value.
+    one JSON document and nothing else), ``empty`` (no usable message) or ``ok``. Keys are role and content, or from and value.
     """
-    text = F.trim(F.col(line))
+    text = F.trim(F.col(line), F.lit(BLANKS))
 
     def listed(path: str | None) -> Column:
         raw = text if path is None else F.get_json_object(text, path)
@@ -26,7 +27,8 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     clean = F.transform(found, lambda m: F.struct(normalized_role(m["role"], m["from"]).alias("role"), F.coalesce(F.nullif(m["content"], F.lit("")), m["value"], F.lit("")).alias("content")))
     kept = F.filter(clean, lambda m: (m["role"] != "") & (m["content"] != ""))
     blank = F.coalesce(text, F.lit("")) == ""
-    valid = F.try_parse_json(text).isNotNull()
+    # one document and nothing behind it: inside an array, whatever follows a document breaks the whole
+    valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & (F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$[1]", "string").isNull())
     out = lines.withColumn("messages", kept)
     status = F.when(blank, "blank").when(~valid, "malformed").when(F.coalesce(F.size("messages"), F.lit(0)) <= 0, "empty").otherwise("ok")
     return out.withColumn("status", status)
