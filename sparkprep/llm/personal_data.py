@@ -186,8 +186,6 @@ def reconcile(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 _ADDRESS = re.compile(r"[\w][\w.+-]*(?: ?@ ?| ?[(\[] ?at ?[)\]] ?| at )[\w-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )[\w-]+)+", re.I)
 _TO = re.compile(r" to (?=\d)")
-#: Words that open a sentence before names.
-_BEFORE_NAMES = frozenset(("hier", "gestern", "haben", "yesterday", "ayer", "selon", "laut", "según", "erst"))
 _INNER_TITLE = re.compile(r"\s(?:Mr|Mrs|Ms|Dr|Mme|Frau|Herr|Don|Doña)\.? (?=[^\W\d_])")
 _PARTICLES = frozenset(("von", "van", "de", "del", "la", "du", "le"))
 _STREETS = frozenset(("rue", "avenue", "quai", "impasse", "place", "chemin", "boulevard", "calle", "am", "an", "im", "zum"))
@@ -195,8 +193,8 @@ _TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|Don|Doña|S
 
 
 def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]) -> list[tuple[int, int, str]]:
-    """Exact checks of each mention: borders at word ends, titles at its sides left out, and of a person a closed list of words
-    that open sentences and words in lower case (the background vocabulary takes no capitalised word from what the model tags), one address on either side of 'to', and the signs and digits that its kind must have."""
+    """Exact checks of each mention: borders at word ends, titles at its sides left out, and of a person words in lower
+    case at its sides (the background vocabulary takes no capitalised word from what the model tags), one address on either side of 'to', and the signs and digits that its kind must have."""
     out = []
     halves = []
     for a, b, k in spans:
@@ -235,12 +233,12 @@ def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]
             mixed = any(w[:1].isupper() for w in own.split())
             while m := re.match(r"([^\W\d_]{2,}),? +(?=\S)", own):
                 word = m.group(1).lower()
-                if word in _PARTICLES or not (word in _BEFORE_NAMES or m.group(1).islower() and (mixed or word in known)):
+                if word in _PARTICLES or not (m.group(1).islower() and (mixed or word in known)):
                     break
                 a += m.end()
                 own = text[a:b]
             while m := re.search(r"\s+([^\W\d_]{2,})$", own):
-                if not (m.group(1).lower() in _BEFORE_NAMES or m.group(1).islower() and (mixed or m.group(1) in known)):
+                if not (m.group(1).islower() and (mixed or m.group(1) in known)):
                     break
                 b = a + m.start()
                 own = text[a:b]

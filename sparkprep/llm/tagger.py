@@ -7,6 +7,7 @@ projection are folded into one table per direction before decoding.
 
 from __future__ import annotations
 
+import multiprocessing
 import unicodedata
 
 import numpy as np
@@ -143,21 +144,55 @@ class Tagger:
         return tags, own - e[:, :, 0]
 
 
-def train(model: Tagger, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, epochs: int, rate: float = 8e-3, batch: int = 64, seed: int = 1, report=print) -> None:
-    """Maximises the conditional likelihood of the tag paths by Adam; gradients by hand."""
+def path_log_odds(model: Tagger, e: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-probability of the tag path ``y`` of each window."""
+    n, steps, _ = e.shape
+    trans, first = model.p["T"] + allowed(), model.p["F"].copy()
+    first[2::2] = -1e4
+    alpha, rows = first + e[:, 0], np.arange(n)
+    score = (first[y[:, 0]] + e[rows, 0, y[:, 0]]).astype(np.float64)
+    for t in range(1, steps):
+        live = t < lengths
+        alpha = np.where(live[:, None], _lse(alpha[:, :, None] + trans, 1) + e[:, t], alpha)
+        score += live * (trans[y[:, t - 1], y[:, t]] + e[rows, t, y[:, t]])
+    return score - _lse(alpha, 1)
+
+
+_DATA: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
+def _share(p: dict[str, np.ndarray], rows: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss and gradient of some rows of the shared data."""
+    x, y, lengths = _DATA[-1]
+    steps = int(lengths[rows].max())
+    return _gradient(Tagger(p), x[rows, :steps], y[rows, :steps], lengths[rows], allowed())
+
+
+def train(model: Tagger, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, epochs: int, rate: float = 8e-3, batch: int = 256, seed: int = 1, workers: int = 1, report=print) -> None:
+    """Maximises the conditional likelihood of the tag paths by Adam; gradients by hand, in ``workers`` processes."""
+    _DATA[:] = [(x, y, lengths)]
+    with multiprocessing.get_context("fork").Pool(workers) as pool:
+        _descend(model, pool, workers, len(x), lengths, epochs, rate, batch, seed, report)
+    _DATA.clear()
+
+
+def _descend(model: Tagger, pool, workers: int, size: int, lengths: np.ndarray, epochs: int, rate: float, batch: int, seed: int, report) -> None:
     rng = np.random.default_rng(seed)
     p = model.p
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step, ban = 0, allowed()
+    step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(x))
+        order = rng.permutation(size)
         order = order[np.argsort(lengths[order] // 16, kind="stable")]
         blocks = [order[i : i + batch] for i in range(0, len(order), batch)]
         rng.shuffle(blocks)
         total = 0.0
         for rows in blocks:
-            steps = int(lengths[rows].max())
-            loss, grad = _gradient(model, x[rows, :steps], y[rows, :steps], lengths[rows], ban)
+            parts = [r for r in np.array_split(rows, workers) if len(r)]
+            found = pool.starmap(_share, [(p, r) for r in parts])
+            weights = [len(r) / len(rows) for r in parts]
+            loss = sum(w * own for w, (own, _) in zip(weights, found))
+            grad = {k: sum(w * g[k] for w, (_, g) in zip(weights, found)) for k in p}
             total += loss * len(rows)
             step += 1
             norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
@@ -168,7 +203,7 @@ def train(model: Tagger, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, epoc
                 m += 0.1 * (g - m)
                 v += 0.002 * (g * g - v)
                 p[k] -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.998**step)) + 1e-8)).astype(np.float32)
-        report(f"epoch {epoch}: loss {total / len(x):.4f}", flush=True)
+        report(f"epoch {epoch}: loss {total / size:.4f}", flush=True)
 
 
 def _gradient(model: Tagger, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, ban: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -193,30 +228,34 @@ def _gradient(model: Tagger, x: np.ndarray, y: np.ndarray, lengths: np.ndarray,
             hs[:, t] = h
         e += hs @ p["W"][d * h2 : (d + 1) * h2]
         kept.append((trace, hs))
-    # CRF by forward and backward sums in log space
+    # CRF by forward and backward sums of probabilities, scaled to 1 at each step
     trans, first = p["T"] + ban, p["F"].copy()
     first[2::2] = -1e4
-    alpha = np.zeros((steps, n, N_TAGS))
-    alpha[0] = first + e[:, 0]
-    for t in range(1, steps):
-        live = mask[:, t, None] > 0
-        alpha[t] = np.where(live, _lse(alpha[t - 1][:, :, None] + trans, 1) + e[:, t], alpha[t - 1])
-    log_z = _lse(alpha[-1], 1)
-    beta = np.zeros((steps, n, N_TAGS))
+    moves = np.exp(trans).astype(np.float32)
+    top = e.max(2, keepdims=True)
+    scores = np.exp(e - top)
+    alpha, beta, scale = np.empty((steps, n, N_TAGS), np.float32), np.ones((steps, n, N_TAGS), np.float32), np.ones((steps, n, 1), np.float32)
+    ahead = np.exp(first) * scores[:, 0]
+    for t in range(steps):
+        if t:
+            live = mask[:, t, None] > 0
+            ahead = np.where(live, (alpha[t - 1] @ moves) * scores[:, t], alpha[t - 1])
+        scale[t] = ahead.sum(1, keepdims=True)
+        alpha[t] = ahead / scale[t]
+    log_z = np.log(scale[:, :, 0].astype(np.float64)).sum(0) + (top[:, :, 0] * mask).sum(1)
+    later = np.zeros((steps, n, N_TAGS), np.float32)
     for t in range(steps - 2, -1, -1):
         live = mask[:, t + 1, None] > 0
-        beta[t] = np.where(live, _lse(trans[None] + (e[:, t + 1] + beta[t + 1])[:, None, :], 2), beta[t + 1])
-    post = np.exp(np.minimum(alpha + beta - log_z[None, :, None], 0)).transpose(1, 0, 2) * mask[:, :, None]
+        later[t + 1] = np.where(live, scores[:, t + 1] * beta[t + 1] / scale[t + 1], 0)
+        beta[t] = np.where(live, later[t + 1] @ moves.T, beta[t + 1])
+    post = (alpha * beta).transpose(1, 0, 2) * mask[:, :, None]
     gold = np.eye(N_TAGS, dtype=np.float32)[y] * mask[:, :, None]
     de = ((post - gold) / n).astype(np.float32)
-    d_t = np.zeros((N_TAGS, N_TAGS))
+    d_t = (alpha[:-1].reshape(-1, N_TAGS).T @ later[1:].reshape(-1, N_TAGS)).astype(np.float64) * moves
     score = (first[y[:, 0]] + e[np.arange(n), 0, y[:, 0]]).astype(np.float64)
-    for t in range(1, steps):
-        live = mask[:, t]
-        pair = np.exp(np.minimum(alpha[t - 1][:, :, None] + trans + (e[:, t] + beta[t])[:, None, :] - log_z[:, None, None], 0)) * live[:, None, None]
-        d_t += pair.sum(0)
-        np.add.at(d_t, (y[:, t - 1], y[:, t]), -live)
-        score += live * (trans[y[:, t - 1], y[:, t]] + e[np.arange(n), t, y[:, t]])
+    own = trans[y[:, :-1], y[:, 1:]] + np.take_along_axis(e[:, 1:], y[:, 1:, None], 2)[:, :, 0]
+    score += (own * mask[:, 1:]).sum(1)
+    np.add.at(d_t, (y[:, :-1].ravel(), y[:, 1:].ravel()), -mask[:, 1:].ravel())
     grad = {"T": np.where(ban < 0, 0, d_t / n).astype(np.float32), "F": de[:, 0].sum(0), "c": de.sum((0, 1)), "W": np.zeros_like(p["W"]), "E": np.zeros_like(p["E"])}
     for d in (0, 1):
         trace, hs = kept[d]

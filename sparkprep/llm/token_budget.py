@@ -53,7 +53,7 @@ def load(name: str, tokenizer_dir: str = TOKENIZER_DIR):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in f if line.strip())}
         model = tiktoken.Encoding(name, pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        count = lambda texts: [len(model.encode_ordinary(x)) for x in texts]
+        count = lambda texts: [len(x) for x in model.encode_ordinary_batch(texts, num_threads=1)]
     elif os.path.exists(path := f"{key}.model"):
         import sentencepiece
 
@@ -99,21 +99,22 @@ def message_tokens(messages: DataFrame, conversations: DataFrame, token_files: D
     """(msg_id, source_name, lang, domain, tokenizer, n_tokens): one row for each message, however often delivered.
 
     Tokenizer, source, language and domain are those of the message's conversation; languages and domains in one spelling.
-    Messages without a conversation keep null for all of them. Only the conversation side is built into hash tables; the
-    texts are moved once and not sorted. Token files and sources are catalogues of fixed size, which the session's
-    broadcast threshold checks.
+    Of a conversation's deliveries the latest counts. Messages without a conversation keep null for all of them; those without a
+    conv_id are spread by msg_id. Only the conversation side is built into hash tables; the texts are moved once and not
+    sorted. Token files and sources are catalogues of fixed size, which the session's broadcast threshold checks.
     """
     files = token_files.select("file_id", tokenizer_name(F.col("tokenizer_source"), F.col("vocab_ceiling")).alias("tokenizer"))
     names = sources.select("source_id", "source_name")
+    times = [c for c in ("ingested_at", "created_at") if c in conversations.columns]
+    own = F.struct("file_id", "source_id", language(F.col("lang")).alias("lang"), F.lower(F.trim("domain")).alias("domain"))
     talks = (
-        conversations.select("conv_id", "file_id", "source_id", language(F.col("lang")).alias("lang"), F.lower(F.trim("domain")).alias("domain"))
-        .dropDuplicates(["conv_id"])
-        .join(files, "file_id", "left")
-        .join(names, "source_id", "left")
-        .select("conv_id", "source_name", "lang", "domain", "tokenizer")
-    )
-    texts = messages.select("msg_id", "conv_id", "content")
-    joined = texts.join(talks.hint("shuffle_hash"), "conv_id", "left").drop("conv_id")
+        conversations.where("conv_id is not null").groupBy("conv_id").agg(F.max_by(own, F.struct(*times, "file_id", "source_id", "lang", "domain")).alias("c"))
+        .select("conv_id", "c.*").join(files, "file_id", "left").join(names, "source_id", "left")
+        .select("conv_id", F.lit(0).alias("salt"), "source_name", "lang", "domain", "tokenizer")
+    )
+    salt = F.when(F.col("conv_id").isNull(), F.pmod(F.xxhash64("msg_id"), F.lit(4096)).cast("int")).otherwise(0)
+    texts = messages.select("msg_id", "conv_id", salt.alias("salt"), "content")
+    joined = texts.join(talks.hint("shuffle_hash"), ["conv_id", "salt"], "left").drop("conv_id", "salt")
     counted = count_tokens(joined, "content", "tokenizer", tokenizer_dir=tokenizer_dir)
     return counted.dropDuplicates(["msg_id"])
 
