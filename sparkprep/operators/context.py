@@ -33,3 +33,8 @@ def eviction(length: Column, more: Column, capacity: int, keep: int = 4) -> Colu
     need = length + more - capacity
     discard = F.least(length - pinned, need + capacity // 4)
     return F.when(need <= 0, 0).when(pinned + more > capacity, None).otherwise(discard).cast("bigint")
+
+
+def pinned_status(seed: Column, sinks: int, window: int) -> Column:
+    """``error`` where the pinned head (seed and sink tokens) fills the window, ``warning`` where the seed passes a fifth of it, else ``ok``."""
+    return F.when(seed + sinks >= window, "error").when(seed * 5 > window, "warning").otherwise("ok")

@@ -95,3 +95,15 @@ def is_subset(part: Column, whole: Column) -> Column:
     """Whether all items of an array are in another; null counts as no items."""
     none = F.array().cast("array<string>")
     return F.size(F.array_except(F.coalesce(part, none), F.coalesce(whole, none))) == 0
+
+
+def detect_report(classified: DataFrame, key: str) -> DataFrame:
+    """(key, role, n, first_layer, last_layer): what a model's tensors are, with 'other' for names that nothing fits."""
+    return classified.groupBy(key, "role").agg(F.count(F.lit(1)).alias("n"), F.min("layer").alias("first_layer"), F.max("layer").alias("last_layer"))
+
+
+def missing_roles(classified: DataFrame, key: str, required: tuple[str, ...]) -> DataFrame:
+    """(key, missing): the required roles that a model has no tensor of, in their order; models that lack none have no row."""
+    own = classified.groupBy(key).agg(F.collect_set("role").alias("roles"))
+    missing = F.array_except(F.array(*[F.lit(r) for r in required]), "roles")
+    return own.select(key, missing.alias("missing")).where(F.size("missing") > 0)

@@ -107,3 +107,14 @@ def train_val_split(docs: DataFrame, fraction: float = 0.05, seed: int = 42) ->
     n = keyed.agg(F.count(F.lit(1))).scalar()
     val = F.when(F.lit(fraction) > 0, F.greatest(F.lit(1), F.floor(n * fraction))).otherwise(0)
     return global_rank(keyed, "k", "doc_id").select("doc_id", F.when((val < n) & (F.col("rank") < val), "val").otherwise("train").alias("split"))
+
+
+def aligned(docs: DataFrame, *candidates: str) -> DataFrame:
+    """(content): the first of the columns ``candidates`` that a source has, and nothing else, so that sources of any schema can be joined.
+
+    A source without any of them is an error.
+    """
+    name = next((c for c in candidates if c in docs.columns), None)
+    if name is None:
+        raise ValueError(f"none of {', '.join(candidates)} among {', '.join(docs.columns)}")
+    return docs.select(F.col(name).alias("content"))

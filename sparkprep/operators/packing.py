@@ -89,3 +89,9 @@ def packed_rows(records: DataFrame, key: str, max_len: int, pad_id: int, seed: i
         "shard", "bin", "n_sequences", padded(F.col("i"), pad_id, "int").alias("input_ids"), padded(labels, -100, "int").alias("labels"),
         padded(F.transform("i", lambda _: F.lit(1)), 0, "tinyint").alias("attention_mask"), padded(F.col("a"), 0, "tinyint").alias("is_answer"),
     )
+
+
+def packed_by_split(records: DataFrame, key: str, split: str, max_len: int, pad_id: int) -> DataFrame:
+    """``packed_rows`` of the train and of the validation records apart, with the column ``split``; no row holds both."""
+    parts = [packed_rows(records.where(F.col(split) == s), key, max_len, pad_id).withColumn("split", F.lit(s)) for s in ("train", "val")]
+    return parts[0].unionByName(parts[1])

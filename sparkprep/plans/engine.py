@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bpe, quant, text as T, vectors as V
-from ..operators import messages as M, metadata as MD
+from ..operators import messages as M, metadata as MD, records as R, validation
 from ..session import local_path, run_to_end, work_folder
 from ..sources import containers, jsonl, tokbin
 from ..streaming import stateful
-from .corpus import _NORMAL, _normal, sql_pretokens, table
+from .corpus import _NORMAL, RECORD, SQL_RECORDS, _normal, sql_pretokens, table
 from .numeric import _E, _vectors
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -26,29 +26,14 @@ def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
-def _examples(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as token arrays: ids are pretoken lengths, masks those of the chat template."""
-    segs = M.segments(_normal(spark, d)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "msg_id", "part", "n_tokens", "loss", "is_answer"))).alias("s"))
-
-    def flat(field: str) -> F.Column:
-        return F.flatten(F.transform("s", lambda x: F.array_repeat(x[field], x["n_tokens"].cast("int"))))
-
-    mask = flat("loss")
-    return segs.select("conv_id", F.transform(mask, lambda m, i: (i % 50000).cast("int")).alias("ids"), mask.cast("array<tinyint>").alias("mask"), flat("is_answer").cast("array<tinyint>").alias("is_answer"))
-
-
 def tokbin_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations written as packed token files and read again: records and tokens by their flags."""
+    """Token records of conversations (bytes as ids) written as packed token files and read again, record by record."""
     spark.dataSource.register(tokbin.TokBinSource)
     folder = local_path(work_folder(spark, "tokbin"))
-    _examples(spark, d).select("ids", "mask", "is_answer").write.format("tokbin").option("vocab_ceiling", 50257).option("tokenizer_source", "pretokens").mode("overwrite").save(folder)
-    back = spark.read.format("tokbin").load(folder)
-    size = F.size("ids")
-
-    def ones(c: str) -> F.Column:
-        return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    return back.agg(F.count(F.lit(1)).alias("n_records"), F.sum(size.cast("bigint")).alias("n_tokens"), F.sum(ones("mask")).alias("n_loss"), F.sum(ones("is_answer")).alias("n_answer"))
+    records = R.chat_records(_normal(spark, d), RECORD, "", "bytes")
+    records.select("ids", "mask", "is_answer").write.format("tokbin").option("vocab_ceiling", 259).option("tokenizer_source", "bytes").mode("overwrite").save(folder)
+    back = spark.read.format("tokbin").option("split", 1 << 20).load(folder)
+    return back.select(F.size("ids").cast("bigint").alias("n"), F.md5(R.hex_text(F.col("ids"))).alias("ids_md5"), F.md5(F.array_join("mask", "")).alias("mask_md5"), F.md5(F.array_join("is_answer", "")).alias("answer_md5"))
 
 
 def _containers(spark: SparkSession) -> str:
@@ -87,11 +72,59 @@ def container_validation(spark: SparkSession, d: str) -> DataFrame:
     return wrong.unionByName(missing)
 
 
+def _fixture(path: str, drop: str = "", tensor: str = "", **change: object) -> None:
+    """A small sound container, but for a key or tensor that is left out, a key of another value, or ``shape`` of its first matrix."""
+    values = {"general.architecture": (8, "decoder"), "decoder.spec_version": (4, 1), "decoder.embedding_length": (4, 8), "decoder.block_count": (4, 1), "decoder.attention.head_count": (4, 4),
+              "decoder.attention.head_count_kv": (4, 2), "decoder.attention.key_length": (4, 2), "decoder.feed_forward_length": (4, 16), "decoder.context_length": (4, 64), "tokenizer.tokens": (9, (8, ["a", "b", "c"]))}
+    shapes = {"token_embd.weight": [8, 3], "output_norm.weight": [8], "blk.0.attn_norm.weight": [8], "blk.0.attn_q.weight": [8, 8], "blk.0.attn_k.weight": [8, 4], "blk.0.attn_v.weight": [8, 4],
+              "blk.0.attn_output.weight": [8, 8], "blk.0.ffn_norm.weight": [8], "blk.0.ffn_gate.weight": [8, 16], "blk.0.ffn_up.weight": [8, 16], "blk.0.ffn_down.weight": [16, 8], "output.weight": [8, 3]}
+    keys = [(n, k, change.get(n, v)) for n, (k, v) in values.items() if n != drop]
+    tensors = [(n, [s[0], s[1] + 1] if n == change.get("shape") else s) for n, s in shapes.items() if n != tensor] + ([("extra.weight", [4])] if change.get("extra") else [])
+    containers.write_gguf(path, keys, [(n, s, 0, bytes(4 * int(np.prod(s)))) for n, s in tensors])
+
+
+def container_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of a folder with two sound files and nine broken ones, scanned and checked as relations."""
+    spark.dataSource.register(containers.GgufSource)
+    folder = local_path(work_folder(spark, "problems"))
+    os.makedirs(folder)
+    _fixture(f"{folder}/sound.gguf")
+    _fixture(f"{folder}/tied.gguf", tensor="output.weight")
+    _fixture(f"{folder}/arch.gguf", **{"general.architecture": "other"})
+    _fixture(f"{folder}/spec.gguf", **{"decoder.spec_version": 2})
+    _fixture(f"{folder}/nokey.gguf", drop="decoder.context_length")
+    _fixture(f"{folder}/groups.gguf", **{"decoder.attention.head_count_kv": 3})
+    _fixture(f"{folder}/missing.gguf", tensor="blk.0.ffn_up.weight")
+    _fixture(f"{folder}/shape.gguf", shape="blk.0.attn_q.weight")
+    _fixture(f"{folder}/extra.gguf", extra=True)
+    _fixture(f"{folder}/vocab.gguf", **{"tokenizer.tokens": (8, ["a", "b"])})
+    with open(f"{folder}/sound.gguf", "rb") as f, open(f"{folder}/torn.gguf", "wb") as g:
+        g.write(f.read(700))
+    rows = spark.read.format("gguf").option("mode", "permissive").load(folder)
+    out = validation.container_problems(rows)
+    return out.select(F.regexp_extract("file", r"([^/]+)\.gguf$", 1).alias("file"), "problem", F.when(F.col("problem") == "unreadable", None).otherwise(F.col("name")).alias("name"))
+
+
+def _byte(at: F.Column) -> F.Column:
+    """The byte at a place of the column ``raw``, from its hex form ``h``."""
+    return F.conv(F.substring("h", at * 2 + 1, F.lit(2)), 16, 10).cast("int")
+
+
 def q8_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors through Q8_0 bytes and back: bytes and the largest error."""
-    e = _vectors(spark, d).select("vec_id", "v", quant.q8_0_block(F.col("v")).alias("raw")).where(F.col("raw").isNotNull())
-    back = e.select("vec_id", "v", F.octet_length("raw").alias("nbytes"), quant.dequantized(F.col("raw"), F.lit(8)).alias("w"))
-    return back.select("vec_id", F.col("nbytes").cast("bigint").alias("nbytes"), (F.array_max(F.zip_with("v", "w", lambda a, b: F.abs(a - b))) <= F.array_max(F.transform("v", lambda x: F.abs(x))) / 127 * 0.57).alias("within_step"))
+    """Codes of each vector's Q8_0 blocks, read from the bytes."""
+    e = _vectors(spark, d).select("vec_id", F.hex(quant.q8_0_block(F.col("v"))).alias("h")).where("h is not null")
+    e = e.select("vec_id", "h", F.explode(F.sequence(F.lit(0), (F.length("h") / 68).cast("int") - 1)).alias("block"))
+    codes = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: _byte(F.col("block") * 34 + 2 + i))
+    return e.select("vec_id", F.col("block").cast("bigint").alias("block"), F.array_join(F.transform(codes, lambda c: F.when(c > 127, c - 256).otherwise(c)), ",").alias("codes"))
+
+
+def q4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of each vector's Q4_0 blocks, read from the bytes: low nibbles first."""
+    e = _vectors(spark, d).select("vec_id", F.hex(quant.q4_0_block(F.col("v"))).alias("h")).where("h is not null")
+    e = e.select("vec_id", "h", F.explode(F.sequence(F.lit(0), (F.length("h") / 36).cast("int") - 1)).alias("block"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _byte(F.col("block") * 18 + 2 + i))
+    codes = F.concat(F.transform(raw, lambda c: c % 16), F.transform(raw, lambda c: F.shiftright(c, 4)))
+    return e.select("vec_id", F.col("block").cast("bigint").alias("block"), F.array_join(codes, ",").alias("codes"))
 
 
 def q4_fused_dot(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +137,9 @@ def q4_fused_dot(spark: SparkSession, d: str) -> DataFrame:
 def jsonl_status(spark: SparkSession, d: str) -> DataFrame:
     """Messages as JSON lines of conversations, parsed again: lines and usable messages by status."""
     lines = M.delivered_once(table(spark, d, "messages")).groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("turn", "msg_id", "role", "content"))).alias("messages"))).alias("value"))
-    parsed = jsonl.parse_lines(lines)
+    # every tenth line comes again with something behind it, and once as white space only
+    odd = lines.where("conv_id % 10 = 0").select(F.col("conv_id"), F.explode(F.array(F.concat("value", F.lit(" tail")), F.lit("\t\u00a0 "))).alias("value"))
+    parsed = jsonl.parse_lines(lines.unionByName(odd))
     return parsed.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("messages").cast("bigint")), F.lit(0)).alias("n_messages"))
 
 
@@ -176,20 +211,31 @@ _SLOTS = containers.positional_slots({"n_vocab": 512, "n_embd": 64, "n_layer": 2
 _SLOT_ROWS = ", ".join(f"('tensor', {i}::BIGINT, '{n}', '{'x'.join(map(str, s))}', 0, {4 * int(np.prod(s))}::BIGINT)" for i, (n, s) in enumerate(_SLOTS))
 
 
+#: Blocks of 32 single-precision values of each vector.
+_BLOCK = """r AS (SELECT vec_id, embedding AS v, unnest(range(0, len(embedding) // 32)) AS block FROM embeddings), b AS (SELECT vec_id, block, v[block * 32 + 1 : block * 32 + 32] AS x FROM r)"""
+
+
 def _catalogue() -> dict:
-    from .corpus import _SEGMENTS, QUERIES as corpus
+    from .corpus import QUERIES as corpus
 
     return {
         "bpe_encode": (bpe_encode, None),
-        "tokbin_roundtrip": (tokbin_roundtrip, f"WITH {_SEGMENTS} SELECT count(DISTINCT conv_id)::BIGINT AS n_records, sum(n_tokens)::BIGINT AS n_tokens, sum(n_tokens * loss)::BIGINT AS n_loss, sum(n_tokens * is_answer)::BIGINT AS n_answer FROM segs"),
+        "tokbin_roundtrip": (tokbin_roundtrip, f"WITH {SQL_RECORDS} SELECT n, md5(ids) AS ids_md5, md5(mask) AS mask_md5, md5(ans) AS answer_md5 FROM recs"),
         "gguf_scan": (gguf_scan, f"""SELECT * FROM (VALUES ('header', 0::BIGINT, 'version', NULL, NULL::INT, NULL::BIGINT), ('key', 0, 'general.architecture', NULL, NULL, NULL), ('key', 1, 'decoder.block_count', NULL, NULL, NULL),
             ('key', 2, 'tokenizer.tokens', NULL, NULL, NULL), {_SLOT_ROWS}) t(kind, ord, name, shape, qtype, nbytes)"""),
         "positional_scan": (positional_scan, "SELECT * FROM (VALUES " + ", ".join(f"('header', {i}::BIGINT, '{n}', NULL, NULL::INT, NULL::BIGINT)" for i, n in enumerate(containers.POSITIONAL_FIELDS[1:])) + f", ('key', 0, 'manifest', NULL, NULL, NULL), ('key', 1, 'tokenizer', NULL, NULL, NULL), {_SLOT_ROWS}) t(kind, ord, name, shape, qtype, nbytes)"),
         "container_validation": (container_validation, "SELECT '' AS name, '' AS problem WHERE false"),
-        "q8_blocks": (q8_blocks, "SELECT vec_id, len(embedding) // 32 * 34 AS nbytes, true AS within_step FROM embeddings"),
+        "container_problems": (container_problems, """SELECT * FROM (VALUES ('arch', 'architecture', 'other'), ('spec', 'spec_version', '2'), ('nokey', 'key', 'context_length'), ('groups', 'groups', NULL),
+            ('groups', 'shape', 'blk.0.attn_k.weight'), ('groups', 'shape', 'blk.0.attn_v.weight'), ('missing', 'missing', 'blk.0.ffn_up.weight'), ('shape', 'shape', 'blk.0.attn_q.weight'), ('extra', 'unknown', 'extra.weight'),
+            ('vocab', 'shape', 'token_embd.weight'), ('torn', 'unreadable', NULL)) t(file, problem, name)"""),
+        "q8_blocks": (q8_blocks, f"""WITH {_BLOCK}, m AS (SELECT *, (list_max(list_transform(x, lambda y: abs(y))) / 127::FLOAT)::FLOAT AS s FROM b)
+            SELECT vec_id, block, array_to_string(list_transform(x, lambda y: CASE WHEN s = 0 THEN 0 ELSE (sign(y) * floor((abs(y) / s)::FLOAT + 0.5::FLOAT))::INT END), ',') AS codes FROM m"""),
+        "q4_blocks": (q4_blocks, f"""WITH {_BLOCK}, m AS (SELECT *, (x[list_position(list_transform(x, lambda y: abs(y)), list_max(list_transform(x, lambda y: abs(y))))] / -8::FLOAT)::FLOAT AS s FROM b)
+            SELECT vec_id, block, array_to_string(list_transform(x, lambda y: CASE WHEN s = 0 THEN 8 ELSE floor(greatest(0::FLOAT, least(15::FLOAT, ((y / s)::FLOAT + 8.5::FLOAT)::FLOAT)))::INT END), ',') AS codes FROM m"""),
         "q4_fused_dot": (q4_fused_dot, "SELECT vec_id, true AS agrees FROM embeddings"),
         "jsonl_status": (jsonl_status, f"""WITH {_NORMAL}, n AS (SELECT c.conv_id, count(normal.msg_id) AS k FROM (SELECT DISTINCT conv_id FROM messages) c LEFT JOIN normal ON normal.conv_id = c.conv_id GROUP BY c.conv_id)
-            SELECT CASE WHEN k > 0 THEN 'ok' ELSE 'empty' END AS status, count(*)::BIGINT AS n, sum(k)::BIGINT AS n_messages FROM n GROUP BY 1"""),
+            SELECT CASE WHEN k > 0 THEN 'ok' ELSE 'empty' END AS status, count(*)::BIGINT AS n, sum(k)::BIGINT AS n_messages FROM n GROUP BY 1
+            UNION ALL SELECT 'malformed', count(*), 0 FROM n WHERE conv_id % 10 = 0 HAVING count(*) > 0 UNION ALL SELECT 'blank', count(*), 0 FROM n WHERE conv_id % 10 = 0 HAVING count(*) > 0"""),
         "payload_prompts": (payload_prompts, f"""WITH {_NORMAL} SELECT msg_id, md5(CASE msg_id % 3 WHEN 0 THEN content WHEN 1 THEN '<|user|>' || content || '<|end|><|assistant|>' ELSE '> ' || content END) AS prompt_md5
             FROM normal WHERE role = 'user'"""),
         "byte_alphabet": (byte_alphabet, """WITH b AS (SELECT unnest(range(256))::INT AS byte), k AS (SELECT byte, byte BETWEEN 33 AND 126 OR byte BETWEEN 161 AND 172 OR byte BETWEEN 174 AND 255 AS shown FROM b)

@@ -85,6 +85,16 @@ def compatibility_report(spark: SparkSession, d: str) -> DataFrame:
     return report.select("preset", F.array_join("mechanical", ",").alias("mechanical"), F.array_join("blocking", ",").alias("blocking"))
 
 
+def detect_report(spark: SparkSession, d: str) -> DataFrame:
+    return conversion.detect_report(MD.classify(_damaged(MD.expected_tensors(MD.presets(spark)))), "preset")
+
+
+def missing_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Required roles that the smallest model's damaged tensors have lost."""
+    out = conversion.missing_roles(MD.classify(_damaged(MD.expected_tensors(MD.presets(spark))).where("name not like '%ffn_down%'")), "preset", ("token_embd", "attn_q", "ffn_gate", "ffn_down"))
+    return out.select("preset", F.array_join("missing", ",").alias("missing"))
+
+
 def file_defaults(spark: SparkSession, d: str) -> DataFrame:
     """Fields of each token file's header by the first key present, with overrides."""
     kv = F.create_map(F.lit("tokenizer"), F.nullif(F.trim(F.col("tokenizer_source")), F.lit("")), F.lit("typecode"), F.col("id_typecode"))
@@ -137,6 +147,9 @@ QUERIES = {
     "compatibility_report": (compatibility_report, f"""WITH {_D}, {_classified("damaged")}, c AS (SELECT preset, role, ne1, count(*) AS n, min(layer) AS f FROM classified WHERE role IN ('attn_q', 'attn_k') GROUP BY ALL),
         v AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY preset, role ORDER BY n DESC, f) = 1), g AS (SELECT preset, max(ne1) FILTER (role = 'attn_q') AS q, max(ne1) FILTER (role = 'attn_k') AS k FROM v GROUP BY preset)
         SELECT preset, '' AS mechanical, CASE WHEN q % k <> 0 THEN 'unmatched,groups' ELSE 'unmatched' END AS blocking FROM g"""),
+    "detect_report": (detect_report, f"""WITH {_D}, {_classified("damaged")} SELECT preset, role, count(*)::BIGINT AS n, min(layer) AS first_layer, max(layer) AS last_layer FROM classified GROUP BY preset, role"""),
+    "missing_roles": (missing_roles, f"""WITH {_D}, few AS (SELECT * FROM damaged WHERE name NOT LIKE '%ffn_down%'), {_classified("few")}, r AS (SELECT preset, list(DISTINCT role) AS roles FROM classified GROUP BY preset)
+        SELECT preset, array_to_string(list_filter(['token_embd', 'attn_q', 'ffn_gate', 'ffn_down'], lambda x: NOT list_contains(roles, x)), ',') AS missing FROM r"""),
     "file_defaults": (file_defaults, "SELECT file_id, coalesce(nullif(trim(tokenizer_source), ''), id_typecode) AS first, coalesce(id_typecode, 'H') AS typecode FROM token_files"),
     "config_checks": (config_checks, f"""WITH {_P} SELECT preset, heads * head_dim AS q_dim, kv_heads * head_dim AS kv_dim, heads % kv_heads = 0 AS groups_ok, head_dim % 2 = 0 AS rope_ok, 4096::BIGINT AS kv_window, 2 + layers * 9 AS n_tensors FROM presets"""),
 }

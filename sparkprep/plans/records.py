@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bpe, encoders, vectors as V
-from ..operators import conversion, metrics, packing, records as R
-from .corpus import _BLANK, _NORMAL, _PARTS, _normal, table
+from ..functions import bpe, encoders, text as T, vectors as V
+from ..operators import context, conversion, metrics, packing, records as R
+from ..sources import jsonl
+from .corpus import _BLANK, _NORMAL, RECORD, SQL_RECORDS as _SEGS, _normal, sql_pretokens, table
 from .engine import TOKENIZER_DIR
 from .numeric import _E, DIM, _vectors, sql_dot
 
-#: Lengths of a record and of a packed row, in tokens, and the id that pads.
-RECORD, ROW, PAD = 2048, 4096, 256
+#: Length of a packed row in tokens, and the id that pads.
+ROW, PAD = 4096, 256
 BPE = f"{TOKENIZER_DIR}/byte_bpe_50k"
 
 
@@ -129,23 +130,25 @@ def log_split(spark: SparkSession, d: str) -> DataFrame:
     return metrics.split_log_windows(rows, "step", "value", "n", "a")
 
 
-_SEGS = f"""{_NORMAL}, {_PARTS}, pieces AS (
-    SELECT conv_id, turn, msg_id, 0 AS part, hex('<|' || role || '|>') AS h, 0 AS loss, 0 AS ans FROM split
-    UNION ALL SELECT conv_id, turn, msg_id, 1, hex(think), 1, 0 FROM split WHERE role = 'assistant' AND think <> ''
-    UNION ALL SELECT conv_id, turn, msg_id, 2, hex(CASE WHEN role = 'assistant' THEN answer ELSE content END), (role = 'assistant')::INT, (role = 'assistant')::INT FROM split
-    UNION ALL SELECT conv_id, turn, msg_id, 3, hex('<|end|>'), (role = 'assistant')::INT, (role = 'assistant')::INT FROM split),
-  segs AS (SELECT *, length(h) // 2 AS n FROM pieces WHERE conv_id IS NOT NULL),
-  sums AS (SELECT *, CASE WHEN loss = 1 AND ans = 0 THEN n ELSE 0 END AS th, sum(n) OVER (PARTITION BY conv_id) AS total, sum(n * loss) OVER (PARTITION BY conv_id) AS masked FROM segs),
-  more AS (SELECT *, sum(th) OVER (PARTITION BY conv_id) AS reasoning, greatest(total - {RECORD}, 0) AS excess,
-    coalesce(sum(th) OVER (PARTITION BY conv_id ORDER BY turn, msg_id, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM sums),
-  cut AS (SELECT *, (n - least(th, greatest(excess - earlier, 0)))::BIGINT AS kept FROM more WHERE excess <= reasoning AND masked - excess > 0),
-  whole AS (SELECT *, regexp_replace(substr(h, 2 * (n - kept) + 1), '(..)', '00\\1', 'g') AS x FROM cut WHERE kept > 0),
-  recs AS (SELECT conv_id, sum(kept)::BIGINT AS n, string_agg(x, '' ORDER BY turn, msg_id, part) AS ids, string_agg(repeat(loss::VARCHAR, kept), '' ORDER BY turn, msg_id, part) AS mask,
-    string_agg(repeat(ans::VARCHAR, kept), '' ORDER BY turn, msg_id, part) AS ans, string_agg(CASE WHEN loss = 1 THEN x ELSE repeat('----', kept) END, '' ORDER BY turn, msg_id, part) AS labels FROM whole GROUP BY conv_id)"""
 _MARKS = ("hex('<|assistant|>')", "hex('<|end|>')")
 _SIZE = DIM // HEADS
 
+def request_responses(spark: SparkSession, d: str) -> DataFrame:
+    """User messages as request lines, every seventh broken: what comes back, with the prompt's pretokens as tokens."""
+    good = F.to_json(F.struct(F.col("content").alias("prompt")))
+    lines = _normal(spark, d).where("role = 'user'").select("msg_id", F.when(F.col("msg_id") % 7 == 0, F.lit('{"prompt": ')).otherwise(good).alias("value"))
+    out = jsonl.respond(lines, T.pretokenize)
+    return out.select("msg_id", "status", F.size("responses").cast("bigint").alias("n_lines"), F.element_at("responses", -1).alias("last"))
+
+
+def pinned_regions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", context.pinned_status(F.col("event_id") * 37 % 4200, 4, 4096).alias("status"))
+
+
 QUERIES = {
+    "request_responses": (request_responses, f"""WITH {_NORMAL} SELECT msg_id, CASE WHEN msg_id % 7 = 0 THEN 'error' ELSE 'ok' END AS status, (CASE WHEN msg_id % 7 = 0 THEN 1 ELSE len({sql_pretokens("content")}) + 1 END)::BIGINT AS n_lines,
+        CASE WHEN msg_id % 7 = 0 THEN '{{"error":"malformed request"}}' ELSE '{{"done":true}}' END AS last FROM normal WHERE role = 'user'"""),
+    "pinned_regions": (pinned_regions, "SELECT event_id, CASE WHEN event_id * 37 % 4200 + 4 >= 4096 THEN 'error' WHEN event_id * 37 % 4200 * 5 > 4096 THEN 'warning' ELSE 'ok' END AS status FROM events"),
     "chat_records": (chat_records, f"WITH {_SEGS} SELECT conv_id, n, md5(ids) AS ids_md5, md5(mask) AS mask_md5, md5(ans) AS answer_md5 FROM recs"),
     "chat_records_bpe": (chat_records_bpe, None),
     "chunk_records": (chunk_records, f"""WITH t AS (SELECT doc_id, hex(text) AS h, strlen(text) AS n FROM documents WHERE {_BLANK}), s AS (SELECT *, unnest(range(0, n, 7800)) AS a FROM t),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     blank = F.coalesce(text, F.lit("")) == ""
     # one document and nothing behind it: inside an array, whatever follows a document breaks the whole
     valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & (F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$[1]", "string").isNull())
-    out = lines.withColumn("messages", kept)
+    out = lines.withColumn("messages", F.when(valid, kept))
     status = F.when(blank, "blank").when(~valid, "malformed").when(F.coalesce(F.size("messages"), F.lit(0)) <= 0, "empty").otherwise("ok")
     return out.withColumn("status", status)
 
@@ -45,3 +47,18 @@ def payload_prompt(payload: Column) -> Column:
     rendered = F.concat(F.array_join(F.transform(shown, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), F.coalesce(m["content"], F.lit("")), F.lit("<|end|>"))), ""), F.lit("<|assistant|>"))
     prompt = F.coalesce(F.get_json_object(payload, "$.prompt"), payload)
     return F.when(F.startswith(payload, F.lit("{")), F.when(F.size(messages) > 0, rendered).otherwise(prompt)).otherwise(payload)
+
+
+def respond(lines: DataFrame, tokens: Callable[[Column], Column], line: str = "value") -> DataFrame:
+    """Lines with ``status`` and ``responses``: of a request one JSON line a token and ``{"done":true}``, of a broken one an error line.
+
+    Blank lines have no response. ``tokens`` gives the array of tokens for a prompt. Rows are independent, so the same plan
+    serves a file and a stream of lines.
+    """
+    text = F.trim(F.col(line), F.lit(BLANKS))
+    valid = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    shown = F.transform(tokens(payload_prompt(text)), lambda t: F.to_json(F.struct(t.alias("token"))))
+    status = F.when(F.coalesce(text, F.lit("")) == "", "blank").when(F.startswith(text, F.lit("{")) & ~valid, "error").otherwise("ok")
+    out = lines.withColumn("status", status)
+    done, error = F.lit('{"done":true}'), F.lit('{"error":"malformed request"}')
+    return out.withColumn("responses", F.when(F.col("status") == "ok", F.concat(shown, F.array(done))).when(F.col("status") == "error", F.array(error)))

@@ -2,6 +2,7 @@
 
 A file is an 8-byte magic, a length-prefixed JSON header, and records to its end: the number of tokens, ids of 2 or 4
 bytes, a loss mask and an answer mask of one byte each, all little-endian. Reading stops cleanly at a torn last record.
+Large files are read in parts that begin at records (option ``split``, in bytes); batches are written as Arrow arrays.
 The magic is an option, so that files of other programs with this layout can be read and written.
 """
 
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 MAGIC = "TOKBIN01"
 SCHEMA = "file string, record bigint, ids array<int>, mask array<tinyint>, is_answer array<tinyint>"
@@ -63,16 +64,41 @@ def is_token_file(path: str, magic: str = MAGIC) -> bool:
         return False
 
 
-def records(path: str, magic: str = MAGIC) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def record_width(header: dict) -> int:
+    """Bytes of a token in all three arrays."""
+    return (2 if header.get("id_typecode", "I") == "H" else 4) + 2
+
+
+def cuts(path: str, split: int, magic: str = MAGIC) -> list[tuple[int, int, int]]:
+    """(begin, end, number of the first record) of parts of about ``split`` bytes that begin at records; only record lengths are read."""
+    header, at = read_header(path, magic)
+    width, size = record_width(header), os.path.getsize(path)
+    if size - at <= split:
+        return [(at, size, 0)]
+    out, begin, first, number = [], at, 0, 0
+    with open(path, "rb") as f:
+        while at + 4 <= size:
+            f.seek(at)
+            at += 4 + struct.unpack("<I", f.read(4))[0] * width
+            number += 1
+            if at - begin >= split and at <= size:
+                out.append((begin, at, first))
+                begin, first = at, number
+    return [*out, (begin, size, first)] if begin < size else out
+
+
+def records(path: str, magic: str = MAGIC, begin: int | None = None, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     header, at = read_header(path, magic)
     kind, width = ("<u2", 2) if header.get("id_typecode", "I") == "H" else ("<u4", 4)
+    at = at if begin is None else begin
     with open(path, "rb") as f:
         f.seek(at)
-        while len(prefix := f.read(4)) == 4:
+        while (end is None or at < end) and len(prefix := f.read(4)) == 4:
             n = struct.unpack("<I", prefix)[0]
             body = f.read(n * (width + 2))
             if len(body) < n * (width + 2):
                 return
+            at += 4 + len(body)
             yield np.frombuffer(body, kind, n), np.frombuffer(body, np.uint8, n, n * width), np.frombuffer(body, np.uint8, n, n * (width + 1))
 
 
@@ -81,25 +107,37 @@ def _lists(rows: list[np.ndarray], kind: type, arrow: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, kind), *rows]).astype(kind), arrow))
 
 
+def _rows(column: pa.Array, kind) -> Iterator[np.ndarray]:
+    """The lists of an Arrow column as slices of one array; null lists are empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False).astype(kind)
+    for live, a, b in zip(column.is_valid().to_pylist(), ends[:-1], ends[1:]):
+        yield flat[a:b] if live else flat[:0]
+
+
 @dataclass
 class FilePartition(InputPartition):
     path: str
+    begin: int
+    end: int
+    first: int
 
 
 class TokBinReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.magic = options.get("magic", MAGIC)
+        self.magic, self.split = options.get("magic", MAGIC), int(options.get("split", 128 << 20))
         path = options["path"]
         self.files = sorted(p for p in glob.glob(os.path.join(path, "*")) if not os.path.basename(p).startswith(("_", "."))) if os.path.isdir(path) else sorted(glob.glob(path))
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in self.files]
+        return [FilePartition(p, *cut) for p in self.files for cut in cuts(p, self.split, self.magic)]
 
     def read(self, partition: FilePartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         rows: list[tuple] = []
-        first = 0
+        first = partition.first
 
         def batch() -> pa.RecordBatch:
             ids, mask, answer = zip(*rows)
@@ -109,7 +147,7 @@ class TokBinReader(DataSourceReader):
                 ["file", "record", "ids", "mask", "is_answer"],
             )
 
-        for row in records(partition.path, self.magic):
+        for row in records(partition.path, self.magic, partition.begin, partition.end):
             rows.append(row)
             if len(rows) == 1000:
                 yield batch()
@@ -124,7 +162,7 @@ class Written(WriterCommitMessage):
     n: int
 
 
-class TokBinWriter(DataSourceWriter):
+class TokBinWriter(DataSourceArrowWriter):
     """One file a task, named at commit; ``append`` asks that files already there have the same header."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
@@ -145,10 +183,12 @@ class TokBinWriter(DataSourceWriter):
         path, n = os.path.join(self.folder, f".{uuid.uuid4().hex}.tmp"), 0
         with open(path, "wb") as f:
             f.write(encode_header(self.header, self.magic))
-            for row in iterator:
-                record = encode_record(row["ids"] or [], row["mask"] or [], row["is_answer"] or [], self.header["id_typecode"])
-                f.write(record)
-                n += bool(record)
+            for batch in iterator:
+                parts = [_rows(batch.column(batch.schema.get_field_index(c)), kind) for c, kind in (("ids", "<u2" if self.header["id_typecode"] == "H" else "<u4"), ("mask", np.uint8), ("is_answer", np.uint8))]
+                for ids, mask, answer in zip(*parts):
+                    if len(ids):
+                        f.write(struct.pack("<I", len(ids)) + ids.tobytes() + mask.tobytes() + answer.tobytes())
+                        n += 1
         return Written(path, n)
 
     def commit(self, messages: list[Written | None]) -> None:

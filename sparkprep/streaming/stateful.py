@@ -8,6 +8,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,6 +26,14 @@ def evict(length: int, more: int, capacity: int, keep: int) -> int:
     return min(length - keep, need + capacity // 4)
 
 
+def _in_order(frames: Iterator[pd.DataFrame], order: str, value: str) -> Iterator[tuple]:
+    """(order, value) of a key's rows of a batch in order: two columns are held and sorted, not rows."""
+    parts = [(f[order].to_numpy(), f[value].to_numpy()) for f in frames]
+    places, values = (np.concatenate(x) for x in zip(*parts))
+    at = np.argsort(places, kind="stable")
+    return zip(places[at].tolist(), values[at])
+
+
 def prefix_reuse(stream: DataFrame, key: str, order: str, ids: str) -> DataFrame:
     """(key, order, matched, reused): leading ids that each row shares with the row before of its key, over all batches.
 
@@ -34,10 +43,10 @@ def prefix_reuse(stream: DataFrame, key: str, order: str, ids: str) -> DataFrame
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get[0]) if state.exists else []
         rows = []
-        for _, row in pd.concat(list(frames)).sort_values(order).iterrows():
-            own = [] if row[ids] is None else [x.item() if hasattr(x, "item") else x for x in row[ids]]
+        for place, value in _in_order(frames, order, ids):
+            own = [] if value is None else value.tolist() if hasattr(value, "tolist") else list(value)
             n = next((i for i, (a, b) in enumerate(zip(last, own)) if a != b), min(len(last), len(own)))
-            rows.append((k[0], row[order], n, len(own) - 1 if own and n >= len(own) else n))
+            rows.append((k[0], place, n, len(own) - 1 if own and n >= len(own) else n))
             last = own
         state.update((last,))
         yield pd.DataFrame(rows, columns=[key, order, "matched", "reused"])
@@ -56,11 +65,11 @@ def context_windows(stream: DataFrame, key: str, order: str, n: str, capacity: i
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         length = int(state.get[0]) if state.exists else 0
         rows = []
-        for _, row in pd.concat(list(frames)).sort_values(order).iterrows():
-            more = 0 if pd.isna(row[n]) else min(max(int(row[n]), 0), capacity - min(keep, length))
+        for place, value in _in_order(frames, order, n):
+            more = 0 if pd.isna(value) else min(max(int(value), 0), capacity - min(keep, length))
             gone = evict(length, more, capacity, keep)
             length += more - gone
-            rows.append((k[0], row[order], gone, length))
+            rows.append((k[0], place, gone, length))
         state.update((length,))
         yield pd.DataFrame(rows, columns=[key, order, "evicted", "length"])
 
@@ -107,10 +116,10 @@ def decoded(stream: DataFrame, key: str, order: str, raw: str) -> DataFrame:
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = bytes(state.get[0]) if state.exists else b""
         rows = []
-        for _, row in pd.concat(list(frames)).sort_values(order).iterrows():
-            held += bytes(row[raw]) if row[raw] is not None else b""
+        for place, value in _in_order(frames, order, raw):
+            held += bytes(value) if value is not None else b""
             cut = complete_length(held)
-            rows.append((k[0], row[order], held[:cut].decode("utf-8", "replace")))
+            rows.append((k[0], place, held[:cut].decode("utf-8", "replace")))
             held = held[cut:]
         state.update((held,))
         yield pd.DataFrame(rows, columns=[key, order, "text"])
