@@ -174,7 +174,7 @@ def _target_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def mix_order_by_target(spark: SparkSession, d: str) -> DataFrame:
     """The mix under each source's own token_target."""
-    return _target_mix(spark, d).select("doc_id", "source", "n", "before", F.round("place", 12).alias("place"))
+    return _target_mix(spark, d).select("doc_id", "source", "n", "before", F.round("place", 16).alias("place"))
 
 
 def mix_token_totals_by_target(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +322,7 @@ QUERIES = {
         s AS (SELECT doc_id, total, unnest(range(0, total, 7800)) AS first_token FROM counted)
         SELECT doc_id, first_token // 7800 AS chunk, first_token, least(7800, total - first_token) AS n_tokens, least(7800, total - first_token) + 2 AS n_with_marks FROM s WHERE least(7800, total - first_token) >= 64"""),
     "mix_order": (mix_order, f"WITH {_MIX} SELECT doc_id, source, n, before, round((before + n / 2) / {BUDGET}, 9) AS place FROM kept"),
-    "mix_order_by_target": (mix_order_by_target, f"WITH {_TARGET_MIX} SELECT doc_id, source, n, before, round((before + n / 2) / target, 12) AS place FROM kept"),
+    "mix_order_by_target": (mix_order_by_target, f"WITH {_TARGET_MIX} SELECT doc_id, source, n, before, round((before + n / 2) / target, 16) AS place FROM kept"),
     "mix_token_totals_by_target": (mix_token_totals_by_target, f"WITH {_TARGET_MIX} SELECT source, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM kept GROUP BY source"),
     "mix_token_totals": (mix_token_totals, f"WITH {_MIX} SELECT source, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM kept GROUP BY source"),
     "subset_interleave": (subset_interleave, """WITH r AS (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS turn FROM documents WHERE domain IS NOT NULL)

@@ -66,7 +66,7 @@ def embedding_bag(spark: SparkSession, d: str) -> DataFrame:
     counts = ids.select("source", F.explode("ids").alias("id")).groupBy("source", "id").agg(F.count(F.lit(1)).alias("n"))
     rows = _vectors(spark, d).select(F.col("vec_id").alias("id"), "v")
     out = counts.join(rows, "id").groupBy("source").agg(V.sum_of(F.col("v"), F.col("n"), DIM).alias("s"), F.sum("n").alias("n"))
-    return out.select("source", "n", F.transform("s", lambda x: F.round(x / F.col("n"), 6)).alias("mean"))
+    return out.select("source", "n", F.transform("s", lambda x: F.round(x / F.col("n"), 6) + F.lit(0.0)).alias("mean"))
 
 
 HEADS, GROUPS = 4, 2
@@ -84,7 +84,7 @@ def grouped_attention(spark: SparkSession, d: str) -> DataFrame:
     # scores of 16 dimensions are far from the range where the exponential overflows
     w = F.exp("s")
     out = pairs.groupBy("seq", "pos", "h").agg(V.sum_of(F.col("value"), w, size).alias("o"), F.sum(w).alias("z"))
-    return out.select((F.col("seq") * 16 + F.col("pos")).alias("vec_id"), F.col("h").cast("int").alias("head"), F.transform("o", lambda x: F.round(x / F.col("z"), 6)).alias("out"))
+    return out.select((F.col("seq") * 16 + F.col("pos")).alias("vec_id"), F.col("h").cast("int").alias("head"), F.transform("o", lambda x: F.round(x / F.col("z"), 6) + F.lit(0.0)).alias("out"))
 
 
 def stored_matvec(spark: SparkSession, d: str) -> DataFrame:
@@ -165,12 +165,12 @@ QUERIES = {
         SELECT id, n, false AS special FROM c UNION ALL SELECT unnest([256, 257, 258])::INT, 0, true"""),
     "embedding_bag": (embedding_bag, f"""WITH {_E}, b AS (SELECT source, unnest(regexp_extract_all(hex(text), '..')) AS x FROM documents), c AS (SELECT source, ('0x' || x)::BIGINT AS id, count(*) AS n FROM b GROUP BY ALL),
         u AS (SELECT c.source, c.n, unnest(e.v) AS x, generate_subscripts(e.v, 1) AS i FROM c JOIN e ON e.vec_id = c.id), m AS (SELECT source, i, sum(n)::BIGINT AS n, round(sum(n * x) / sum(n), 6) AS x FROM u GROUP BY source, i)
-        SELECT source, any_value(n) AS n, list(x ORDER BY i) AS mean FROM m GROUP BY source"""),
+        SELECT source, any_value(n) AS n, list(x + 0.0 ORDER BY i) AS mean FROM m GROUP BY source"""),
     "grouped_attention": (grouped_attention, f"""WITH {_E}, s AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, v FROM e), q AS (SELECT seq, pos, v, unnest(range(0, {HEADS})) AS h FROM s),
         p AS (SELECT q.seq, q.pos, q.h, exp(list_sum(list_transform(range(1, {_SIZE + 1}), lambda i: q.v[q.h * {_SIZE} + i] * k.v[(q.h // {HEADS // GROUPS}) * {_SIZE} + i])) / sqrt({_SIZE})) AS w,
           list_reverse(k.v)[(q.h // {HEADS // GROUPS}) * {_SIZE} + 1 : (q.h // {HEADS // GROUPS} + 1) * {_SIZE}] AS x FROM q JOIN s k ON k.seq = q.seq AND k.pos <= q.pos),
         u AS (SELECT seq, pos, h, w, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM p), o AS (SELECT seq, pos, h, i, round(sum(w * x) / sum(w), 6) AS o FROM u GROUP BY ALL)
-        SELECT (seq * 16 + pos)::BIGINT AS vec_id, h::INT AS head, list(o ORDER BY i) AS out FROM o GROUP BY seq, pos, h"""),
+        SELECT (seq * 16 + pos)::BIGINT AS vec_id, h::INT AS head, list(o + 0.0 ORDER BY i) AS out FROM o GROUP BY seq, pos, h"""),
     "stored_matvec": (stored_matvec, f"WITH {_E} SELECT a.vec_id, b.vec_id AS row, round({sql_dot('b.v', 'a.v')}, 6) AS y FROM e a, e b WHERE b.vec_id < 8"),
     "fused_row_split": (fused_row_split, "SELECT vec_id, CASE WHEN vec_id < 128 THEN 'q' WHEN vec_id < 192 THEN 'k' WHEN vec_id < 256 THEN 'v' END AS part, CASE WHEN vec_id < 128 THEN vec_id WHEN vec_id < 192 THEN vec_id - 128 WHEN vec_id < 256 THEN vec_id - 192 END AS part_row FROM embeddings"),
     "negligible_biases": (negligible_biases, f"WITH {_E} SELECT vec_id, coalesce(list_max(list_transform(v, lambda x: abs(x))), 0) * CASE WHEN label % 2 = 0 THEN 1e-8 ELSE 1 END <= 1e-6 AS negligible FROM e"),
