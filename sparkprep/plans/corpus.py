@@ -276,17 +276,11 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return files.select("file_id", key.alias("cache_key"))
 
 
-def truncated_notes_all(spark: SparkSession, d: str) -> DataFrame:
+def truncated_notes(spark: SparkSession, d: str) -> DataFrame:
     """Message contents as notes of at most 300 bytes."""
     return M.delivered_once(table(spark, d, "messages")).select("msg_id", F.md5(T.truncated_note(F.col("content"))).alias("note_md5"))
 
 
-def truncated_notes(spark: SparkSession, d: str) -> DataFrame:
-    """``truncated_notes_all`` of ASCII contents only, whose cut SQL can say by characters."""
-    c = F.col("content")
-    return M.delivered_once(table(spark, d, "messages")).where(F.coalesce(c, F.lit("")).rlike(r"^[\x00-\x7F]*$")).select("msg_id", F.md5(T.truncated_note(c)).alias("note_md5"))
-
-
 def text_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
@@ -350,8 +344,8 @@ QUERIES = {
     "escape_json": (escape_json, f"SELECT doc_id, md5({_ESC}) AS escaped_md5 FROM documents"),
     "id_typecodes": (id_typecodes, "SELECT file_id, CASE WHEN vocab_ceiling <= 65535 THEN 'H' ELSE 'I' END AS typecode, id_typecode IS NOT DISTINCT FROM CASE WHEN vocab_ceiling <= 65535 THEN 'H' ELSE 'I' END AS stated FROM token_files"),
     "cache_keys": (cache_keys, "SELECT file_id, substr(sha256(concat_ws('|', '2', coalesce(tokenizer_source, ''), max_len, array_to_string(think_end_markers, ','), vocab_ceiling, file_id)), 1, 16) AS cache_key FROM token_files"),
-    "truncated_notes_all": (truncated_notes_all, None),
-    "truncated_notes": (truncated_notes, r"""SELECT msg_id, md5(CASE WHEN strlen(content) > 300 THEN substr(content, 1, 300) || '...]' || chr(10) ELSE content END) AS note_md5
-        FROM (SELECT DISTINCT msg_id, conv_id, turn, role, content FROM messages) WHERE regexp_matches(coalesce(content, ''), '^[\x00-\x7F]*$')"""),
+    "truncated_notes": (truncated_notes, """SELECT msg_id, md5(CASE WHEN strlen(content) > 300
+        THEN substr(content, 1, list_max(list_filter(range(75, 301), lambda k: strlen(substr(content, 1, k)) <= 300))) || '...]' || chr(10) ELSE content END) AS note_md5
+        FROM (SELECT DISTINCT msg_id, conv_id, turn, role, content FROM messages)"""),
     "text_hashes": (text_hashes, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
 }

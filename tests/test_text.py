@@ -71,12 +71,12 @@ def test_notes_of_all_contents_match_brute_force(spark, tmp_path):
     fixture += ["a" * n + c * 90 for n in range(213, 218) for c in ("é", "語", "😀")] + ["a" * n + c + "\ufffd語" for n in range(291, 301) for c in ("é", "語", "😀", "\ufffd")]
     df = spark.createDataFrame([(i, 1, i, "user", t) for i, t in enumerate(fixture)] + [(7, 1, 7, "user", fixture[7])], "msg_id bigint, conv_id bigint, turn int, role string, content string")
     df.write.parquet(f"{tmp_path}/messages.parquet")
-    got = [(r.msg_id, r.note_md5) for r in plans.queries()["truncated_notes_all"](spark, str(tmp_path)).collect()]
+    got = [(r.msg_id, r.note_md5) for r in plans.queries()["truncated_notes"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [(i, None if t is None else hashlib.md5(_note(t).encode()).hexdigest()) for i, t in enumerate(fixture)]
 
 
 def test_notes_of_all_messages_come_out(spark, data):
     table = spark.read.parquet(f"{data}/messages.parquet").select("msg_id", "conv_id", "turn", "role", "content").distinct().collect()
-    got = [(r.msg_id, r.note_md5) for r in plans.queries()["truncated_notes_all"](spark, data).collect()]
+    got = [(r.msg_id, r.note_md5) for r in plans.queries()["truncated_notes"](spark, data).collect()]
     want = [(r.msg_id, None if r.content is None else hashlib.md5(_note(r.content).encode()).hexdigest()) for r in table]
     assert sorted(got, key=str) == sorted(want, key=str)
