@@ -39,6 +39,25 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_stats.text_quality(table(spark, d, "messages"), "msg_id", "content", _common_words(spark, d)).dropDuplicates(["msg_id"])
 
 
+def p3_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of ``p3_statistics`` alone, rounded, as SQL can tell them."""
+    shares = [F.round(c, 9).alias(c) for c in ("mean_word_length", "symbol_share", "ended_line_share", "common_share")]
+    return p3_statistics(spark, d).select("msg_id", "n_words", *shares)
+
+
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """For each message that is split: its text put together again from the pieces, and whether sizes and overlaps keep the limits."""
+    from pyspark.sql import Window as W
+
+    pieces = p4_pieces(spark, d).withColumn("before", F.lag("end").over(W.partitionBy("msg_id").orderBy("piece_no")))
+    again = F.coalesce(F.col("before") - F.col("begin"), F.lit(0))
+    new = F.substr("piece", again + 1)
+    kept = (F.length("piece") <= 2000) & (F.length("piece") == F.col("end") - F.col("begin")) & again.between(0, 200)
+    rows = pieces.select("msg_id", F.struct("piece_no", new.alias("t")).alias("s"), kept.alias("kept"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "")
+    return rows.groupBy("msg_id").agg(F.md5(text).alias("text_md5"), F.min("kept").alias("within"))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_long.split_oversized(table(spark, d, "messages"), "msg_id", "content").dropDuplicates(["msg_id", "piece_no"])
 
@@ -77,7 +96,11 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_pieces, p5_token_budget, p5_message_tokens, p6_ids, p7_rows, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_statistics, p3_measures, p4_found, p4_pieces, p4_rebuilt, p5_token_budget, p5_message_tokens, p6_ids, p7_rows, p8_found, p8_redacted)}
+
+
+#: White space of Unicode as a class of SQL patterns.
+_BLANKS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -87,4 +110,13 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN list_max(list_transform(regexp_split_to_array(content, '[ \\t\\r\\n]+'), lambda x: length(x))) > 2000
                         THEN 'forced' ELSE 'natural' END AS cut_kind
             FROM messages WHERE length(content) > 2000""",
+        "p4_rebuilt": "SELECT DISTINCT msg_id, md5(content) AS text_md5, true AS within FROM messages WHERE length(content) > 2000",
+        "p3_measures": rf"""
+            WITH m AS (SELECT DISTINCT ON (msg_id) msg_id, coalesce(content, '') AS t FROM messages),
+            w AS (SELECT msg_id, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS words, length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) AS inside, length(regexp_replace(t, '[{_BLANKS}]', '', 'g')) AS solid,
+                list_filter(list_transform(string_split_regex(t, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '[{_BLANKS}]+$', '')), lambda x: x <> '') AS lines FROM m),
+            c AS (SELECT list(DISTINCT word) AS common FROM common_words)
+            SELECT msg_id, len(words)::BIGINT AS n_words, round(CASE WHEN len(words) > 0 THEN inside / len(words) ELSE 0 END, 9) AS mean_word_length, round(CASE WHEN solid > 0 THEN (solid - inside) / solid ELSE 0 END, 9) AS symbol_share,
+                round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: contains('.!?…:;,"''»”)', x[-1:]))) / len(lines) ELSE 0 END, 9) AS ended_line_share,
+                round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: list_contains(common, lower(x)))) / len(words) ELSE 0 END, 9) AS common_share FROM w, c""",
     }

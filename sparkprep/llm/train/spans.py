@@ -283,9 +283,15 @@ _CLOSINGS = {
 }
 _TAILS = {"en": " left|, it stopped| moved| said so|, nobody reads it| and {p} left|", "de": " ging| und {p} kamen|, ist es still| es sagte| es merkte|, hält es|", "fr": " est parti| et {p} sont venus|, tout va bien| l'a dit|, personne ne lit|", "es": " se fue| y {p} vinieron|, todo sigue| lo dijo|, nadie lo lee|"}
 
+#: What can follow a labelled value.
+_TAIL_WORDS = {
+    "en": "expires soon|was lost|is valid until May|issued in spring|has changed|please|(mornings only)|as of today|is on file|was checked|if it stalls|for now", "de": "ist abgelaufen|liegt vor|gilt bis Mai|wurde geprüft|ausgestellt im Juni|bitte|ab heute|hat sich geändert|ist bekannt|bei Rückfragen",
+    "fr": "expire bientôt|a été perdu|valable un an|délivré en mai|a changé|merci|dès aujourd'hui|est connu|a été vérifié|si besoin", "es": "caduca pronto|se perdió|vale hasta mayo|expedido en junio|ha cambiado|por favor|desde hoy|ya revisado|consta en la ficha|si hace falta",
+}
+
 #: Blocks of several lines and columns, whatever the language.
 _BLOCKS = [
-    "{p}\n{a}\n{t}\n{e}", "{p}\n{a}\n{t}", "{p}\n{a}", "{a}\n{t}\n{e}", "{p}\n{t}", "{p}\n{e}", "{p}, {a}", "{p}, {t}", "{p} ({e})", "{p} <{e}>, {p} <{e}>", "BEGIN:VCARD\nFN:{p}\nTEL:{t}\nEMAIL:{e}\nEND:VCARD", "FN:{p}\nADR:{a}\nTEL:{t}", "name;mail;phone\n{p};{e};{t}\n{p};{e};{t}", "id,name,city\n4,{p},here", "name,address\n{p},\"{a}\"", "/* (c) 2020 {p}\n * {e}\n */",
+    "{p}\n{a}\n{t}\n{e}", "{p}\n{a}\n{t}\n{e}", "{p}\n{a}\n{t}", "{p}\n{a}\n{t}", "{p}\n{a}", "{p}\n{a}", "{t}", "{t}", "{e}", "{a}", "{a}\n{t}\n{e}", "{p}\n{t}", "{p}\n{e}", "{p}, {a}", "{p}, {t}", "{p} ({e})", "{p} <{e}>, {p} <{e}>", "BEGIN:VCARD\nFN:{p}\nTEL:{t}\nEMAIL:{e}\nEND:VCARD", "FN:{p}\nADR:{a}\nTEL:{t}", "name;mail;phone\n{p};{e};{t}\n{p};{e};{t}", "id,name,city\n4,{p},here", "name,address\n{p},\"{a}\"", "/* (c) 2020 {p}\n * {e}\n */",
     "# Copyright 2021 {p} <{e}>", "// Copyright (c) 2019, {p}", " * @author {p}", " * @author {p} <{e}>", "-- {p}, {t}", "# TODO({p}): fix", "Date: 2020-02-03\nFrom: {p} <{e}>\nTo: {e}", "From: {e}\nTo: {p}", "> {p} wrote:\n> ok", "| {p} | {e} |", "| {p} | {t} |", "| {e} | {t} |", "| {a} | {t} |", "{p};{e};{t}", "user={e} phone={t}", "2023-04-01 10:00:00 INFO user={e} tel={t} ip=10.0.0.3", "{e} {t}", "{t} / {e}", "{t}, {e}", "- {p}\n- {p}\n- {p}", "1. {p}: {t}\n2. {p}: {t}", "{p} -> {p}", "[{p}](mailto:{e})", "{p}: ok\n{p}: late", "\"{p}\", \"{a}\"", "({t})", "{t} -- ask for {p}", "{p} -- {e}",
 ]
 #: What is named after people, and other pairs of words in capitals; s is a surname.
@@ -340,9 +346,10 @@ class Writer:
         label = r.choice(_LABELS[kind][lang].split("|"))
         if r.random() < 0.3:
             label = label.capitalize() if r.random() < 0.6 else label.lower()
+        tail = r.choice(_TAIL_WORDS[lang].split("|"))
         slot = "{" + next(k for k, v in _NAME_KEYS.items() if v == kind) + "}"
         shape = r.choice((
-            f"{label}: {slot}", f"{label}: {slot}", f"{label} : {slot}", f"{label} {slot}", f"{label} {slot}.", f"({label} {slot})", f"- {label}: {slot}", f"{label}\n{slot}", f"| {label} | {slot} |", f"{label} = {slot}", f"# {label} {slot}", f"// {label}: {slot}", f"{label}, {slot}",
+            f"{label}: {slot}", f"{label} ({slot})", f"{label} {slot} {tail}", f"{label} : {slot}", f"{label} {slot} {tail}.", f"{label} {slot}, {tail}", f"{label} {slot}", f"{label} {slot}.", f"({label} {slot})", f"- {label}: {slot}", f"{label}\n{slot}", f"| {label} | {slot} |", f"{label} = {slot}", f"# {label} {slot}", f"// {label}: {slot}", f"{label}, {slot}",
             f'"{key}": "{slot}"', f'{{"{key}": "{slot}", "id": 4}}', f"{key}={slot}", f"{key}: {slot}", f"<{key}>{slot}</{key}>", f'{key} = "{slot}"', f"{key}:{slot}", f"[INFO] {key}={slot} status=ok", f"{key}={slot};", f"'{key}': '{slot}',", f"<|user|>{label} {slot}<|end|>", f"{label}: {slot} / {slot}", f'"{label} {slot}"', f"{label}\t{slot}", f"{slot} ({label})", f"<|assistant|>{label}: {slot}<|end|>", f"> {label} {slot}",
         ))
         return self.fill(shape.replace("{{", "").replace("}}", "}") if shape.startswith("{{") else shape, lang)
