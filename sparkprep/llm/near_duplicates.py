@@ -6,10 +6,12 @@ Plan (no cross join, nothing unbounded in one row, task or on the driver):
    *class* (side and set hash, message ids, hashes of the sequences);
 2. classes are hash-partitioned once, which brings all copies together; a group of copies is from here on one class. A
    partition is read in the order of its classes, slice by slice;
-3. each class sends a row to each of its bands: band key, class, one bit of each register, size. A row moves 28 bytes, to
-   one of as many buckets as the input's bytes ask for; a task takes its buckets one by one;
+3. each class sends its band keys, 13 bytes each, to as many buckets as the input's bytes ask for; a task takes its buckets
+   one by one. The bands whose key another class has too are told to the class, and only for these it sends a row with two
+   bits of each register and its size: 48 bytes;
 4. rows with one key are compared by bits and sizes in vectors; keys with very many classes are cut into blocks, which other
-   tasks send to each other, so that no task writes or compares all pairs of a key;
+   tasks send to each other, so that no task writes or compares all pairs of a key. Unlike texts that share common sequences
+   meet in numbers that grow with the square of the input; two bits leave so few of them that what is moved next does not;
 5. the pairs left are joined with the sequence hashes of step 2 (the same exchange); their similarity is estimated jointly
    from both sketches by likelihood, and what the estimate leaves is verified exactly;
 6. for groups, the components of the classes are contracted in rounds, and messages follow by their class.
@@ -38,6 +40,9 @@ _GROUP = 0xFFFF
 #: Rows with one band key that are compared at once; more are cut into blocks of this size.
 BLOCK = 2048
 
+#: Bits of each register in a band row.
+PLANES = 2
+
 #: Keys of a class in one row, the pairs of two rows being expanded together; rows in one batch.
 MEMBERS, _AT_ONCE = 256, 1000
 _KEYS = pa.list_(pa.int64())
@@ -126,30 +131,72 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
         yield np.array(names, np.int64), [b"".join(x) for x in ids], items
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, m: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed band rows, one record for each target partition and slice of classes."""
+def _band_hashes(names: np.ndarray, regs: np.ndarray, bands: int, rows: int) -> Iterator[np.ndarray]:
+    """For each band a 64-bit hash of group, band and registers: the key in the low half, the bucket in the high one."""
+    for band in range(bands):
+        h = ((names & _GROUP).astype(np.uint64) * np.uint64(bands) + np.uint64(band + 1)) * _MIX[3]
+        for r in range(rows):
+            h = (h ^ regs[:, band * rows + r].astype(np.uint64)) * _MIX[r % 3]
+            h ^= h >> np.uint64(31)
+        yield h
+
+
+def _by_bucket(row: np.ndarray, hashes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One record of packed rows for each bucket."""
+    part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    row, part = row[order], part[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = np.append(cuts[1:], len(part))
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([row[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["p", "rows"])
+
+
+_KEY_ROW = np.dtype([("key", "<u4"), ("c", "<i8"), ("band", "u1")])
+
+
+def _sketched(items: list[bytes], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, registers) of packed sets."""
+    sizes = np.array([len(x) // 4 for x in items], np.int64)
+    return sizes, set_sketch.registers(np.frombuffer(b"".join(items), np.uint32), np.cumsum(sizes) - sizes, m)
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, m: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed band keys of all classes, one record for each bucket and slice of classes."""
     for names, _, items in _classes(batches):
-        sizes = np.array([len(x) // 4 for x in items], np.int64)
-        flat = np.frombuffer(b"".join(items), np.uint32)
-        regs = set_sketch.registers(flat, np.cumsum(sizes) - sizes, m)
-        bits = set_sketch.pack_bits(regs)
-        out_key, out_part = [], []
-        for band in range(bands):
-            h = ((names & _GROUP).astype(np.uint64) * np.uint64(bands) + np.uint64(band + 1)) * _MIX[3]
-            for r in range(rows):
-                h = (h ^ regs[:, band * rows + r].astype(np.uint64)) * _MIX[r % 3]
-                h ^= h >> np.uint64(31)
-            out_key.append((h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            out_part.append(((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64))
-        key, part = np.concatenate(out_key), np.concatenate(out_part)
-        row = np.empty(len(key), _row_type(bits.shape[1]))
-        row["key"], row["c"], row["n"] = key, np.tile(names, bands), np.tile(np.minimum(sizes, 0xFFFFFFFF), bands)
-        row["bits"] = np.tile(bits, (bands, 1))
-        order = np.argsort(part, kind="stable")
-        row, part = row[order], part[order]
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        ends = np.append(cuts[1:], len(part))
-        yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([row[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["p", "rows"])
+        hashes = np.concatenate(list(_band_hashes(names, _sketched(items, m)[1], bands, rows)))
+        row = np.empty(len(hashes), _KEY_ROW)
+        row["key"], row["c"], row["band"] = hashes & np.uint64(0xFFFFFFFF), np.tile(names, bands), np.repeat(np.arange(bands), len(names))
+        yield _by_bucket(row, hashes, parts)
+
+
+def _shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, shared): of each bucket the classes that have a key with another class, with their bands as bits."""
+    for row in _buckets(batches, _KEY_ROW):
+        row = row[np.lexsort((row["c"], row["key"]))]
+        new_key = row["key"][1:] != row["key"][:-1]
+        fresh = np.concatenate([[True], new_key | (row["c"][1:] != row["c"][:-1])])
+        key = np.cumsum(np.concatenate([[0], new_key]))
+        row = row[np.bincount(key, fresh)[key] > 1]
+        if len(row):
+            c, at = np.unique(row["c"], return_inverse=True)
+            shared = np.zeros(len(c), np.int64)
+            np.bitwise_or.at(shared, at, np.int64(1) << row["band"].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(shared)], ["c", "shared"])
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, m: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of the bands that a class shares, one record for each bucket and slice of classes (c, items, shared)."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, 5000):
+            names, shared = (batch.column(i).slice(s, 5000).to_numpy(zero_copy_only=False) for i in (0, 2))
+            sizes, regs = _sketched(batch.column(1).slice(s, 5000).to_pylist(), m)
+            bits = set_sketch.pack_bits(regs, PLANES)
+            own = [np.flatnonzero(shared >> band & 1) for band in range(bands)]
+            hashes = np.concatenate([h[i] for h, i in zip(_band_hashes(names, regs, bands, rows), own)])
+            own = np.concatenate(own)
+            row = np.empty(len(own), _row_type(bits.shape[1]))
+            row["key"], row["c"], row["n"], row["bits"] = hashes & np.uint64(0xFFFFFFFF), names[own], np.minimum(sizes, 0xFFFFFFFF)[own], bits[own]
+            yield _by_bucket(row, hashes, parts)
 
 
 def _row_type(words: int) -> np.dtype:
@@ -161,24 +208,24 @@ def _likely(row: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, sig
     na, nb = row["n"][a].astype(np.int64), row["n"][b].astype(np.int64)
     near = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & ((row["c"][a] ^ row["c"][b]) & _GROUP == 0)
     a, b, na, nb = a[near], b[near], na[near], nb[near]
-    same = set_sketch.bit_matches(row["bits"][a], row["bits"][b])
-    ok = same >= set_sketch.least_matches(64 * row["bits"].shape[1], na, nb, threshold, sigmas)
+    same = set_sketch.bit_matches(row["bits"][a], row["bits"][b], PLANES)
+    ok = same >= set_sketch.least_matches(64 * row["bits"].shape[1] // PLANES, na, nb, threshold, sigmas, PLANES)
     x, y = row["c"][a[ok]], row["c"][b[ok]]
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
-    """Band rows of each bucket of a partition that is sorted by bucket."""
+def _buckets(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """Packed rows of each bucket of a partition that is sorted by bucket."""
     name, held = None, []
     for batch in batches:
         for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if p != name and held:
-                yield np.frombuffer(b"".join(held), _row_type(words))
+                yield np.frombuffer(b"".join(held), kind)
                 held = []
             name = p
             held.append(x)
     if held:
-        yield np.frombuffer(b"".join(held), _row_type(words))
+        yield np.frombuffer(b"".join(held), kind)
 
 
 #: Rows of ``_bucket_pairs``: key and number of a block of ``n`` blocks with its band rows; likely pairs are one block (n = 1).
@@ -187,7 +234,7 @@ _BLOCKS = "key bigint, i int, n int, block binary, other binary"
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch], words: int, threshold: float, sigmas: float) -> Iterator[pa.RecordBatch]:
     """Of each bucket's band rows: packed likely pairs, and blocks of the keys that are to be compared elsewhere."""
-    for row in _buckets(batches, words):
+    for row in _buckets(batches, _row_type(words)):
         row = row[np.lexsort((row["c"], row["key"]))]
         fresh = np.concatenate([[True], (row["key"][1:] != row["key"][:-1]) | (row["c"][1:] != row["c"][:-1])])
         row = row[fresh]
@@ -262,12 +309,14 @@ def similar_classes(classes: DataFrame, buckets: int, threshold: float = 0.5, ba
     A pair of similarity J shares a band with probability 1 - (1 - J^rows)^bands: 0.976 at 0.5, 0.997 at 0.6, above 0.9999
     at 0.7. Verification compares the sets themselves (as 32-bit hashes of their sequences).
     """
-    words = m // 64
-    banded = _in_order(classes).mapInArrow(lambda x: _band_rows(x, bands, rows, m, buckets), "p bigint, rows binary").repartition("p").sortWithinPartitions("p")
-    packed = banded.mapInArrow(lambda x: _bucket_pairs(x, words, threshold, sigmas), _BLOCKS)
-    likely = _met(packed).mapInArrow(lambda x: _block_pairs(x, words, threshold, sigmas), "a bigint, b bigint").distinct()
+    words = PLANES * m // 64
+    keys = _in_order(classes).mapInArrow(lambda x: _key_rows(x, bands, rows, m, buckets), "p bigint, rows binary").repartition("p").sortWithinPartitions("p")
+    shared = keys.mapInArrow(_shared_bands, "c bigint, shared bigint").groupBy("c").agg(F.expr("bit_or(shared)").alias("shared"))
     # keeps the partitioning of the classes; the filter holds on to all columns, so that the exchange is the same one
     sets = classes.groupBy("c").agg(F.first("items").alias("items"), F.sum(F.length("ids")).alias("w")).where("w > 0")
+    banded = sets.join(shared, "c").select("c", "items", "shared").mapInArrow(lambda x: _band_rows(x, bands, rows, m, buckets), "p bigint, rows binary").repartition("p").sortWithinPartitions("p")
+    packed = banded.mapInArrow(lambda x: _bucket_pairs(x, words, threshold, sigmas), _BLOCKS)
+    likely = _met(packed).mapInArrow(lambda x: _block_pairs(x, words, threshold, sigmas), "a bigint, b bigint").distinct()
     with_a = likely.join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(lambda x: _verified(x, threshold, m), "a bigint, b bigint, jaccard double")

@@ -63,24 +63,28 @@ def joint_jaccard(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_rig
     return (lo + hi) / 2
 
 
-def pack_bits(regs: np.ndarray) -> np.ndarray:
-    """One bit of each register, 64 in a word: a sketch of the sketch that still estimates similarity."""
-    mixed = (regs.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(31)
-    packed = np.packbits(mixed.astype(np.uint8), axis=1)
+def pack_bits(regs: np.ndarray, planes: int = 1) -> np.ndarray:
+    """The first bits of each register's hash, 64 in a word, plane after plane: a sketch of the sketch that still estimates similarity."""
+    mixed = regs.astype(np.uint32) * np.uint32(2654435761)
+    packed = np.concatenate([np.packbits((mixed >> np.uint32(31 - k) & np.uint32(1)).astype(np.uint8), axis=1) for k in range(planes)], 1)
     return np.ascontiguousarray(packed).view(np.uint64)
 
 
-def bit_matches(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Number of equal bits in each row."""
-    return left.shape[1] * 64 - np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+def bit_matches(left: np.ndarray, right: np.ndarray, planes: int = 1) -> np.ndarray:
+    """Number of registers in each row that are equal in all planes."""
+    words = left.shape[1] // planes
+    other = left ^ right
+    for k in range(1, planes):
+        other[:, :words] |= other[:, k * words : (k + 1) * words]
+    return words * 64 - np.bitwise_count(other[:, :words]).sum(1, dtype=np.int64)
 
 
-def least_matches(m: int, n_left: np.ndarray, n_right: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
-    """Bit matches below which the likelihood rules a pair out.
+def least_matches(m: int, n_left: np.ndarray, n_right: np.ndarray, threshold: float, sigmas: float, planes: int = 1) -> np.ndarray:
+    """Matches below which the likelihood rules a pair out.
 
-    A bit agrees with probability (1 + J) / 2. With J at the threshold the matches lie above this bound but for ``sigmas``
-    deviations; sizes whose ratio is under the threshold rule a pair out at once, as J cannot exceed that ratio.
+    The bits of a register agree with probability J + (1 - J) / 2^planes. With J at the threshold the matches lie above this
+    bound but for ``sigmas`` deviations; sizes whose ratio is under the threshold rule a pair out at once, as J cannot exceed it.
     """
-    p = (1 + threshold) / 2
+    p = threshold + (1 - threshold) / 2**planes
     bound = np.floor(m * p - sigmas * np.sqrt(m * p * (1 - p)))
     return np.where(np.minimum(n_left, n_right) < threshold * np.maximum(n_left, n_right), m + 1, bound)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +120,39 @@ def test_pairs_match_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "k", F.col("g"), "t").count() == 0
 
 
+def _similar_sets(rng, count, common, own):
+    """Classes of random sets that share ``common`` of their hashes."""
+    shared = rng.integers(0, 1 << 32, common, np.uint32)
+    return [np.unique(np.concatenate([shared, rng.integers(0, 1 << 32, own, np.uint32)])) for _ in range(count)]
+
+
+def test_few_unlike_texts_with_common_sequences_are_moved():
+    sets = _similar_sets(np.random.default_rng(3), 300, 20, 80) + _similar_sets(np.random.default_rng(4), 60, 80, 20)  # similarity 0.11, 0.67
+    sizes, regs = near_duplicates._sketched([x.tobytes() for x in sets], 128)
+    bits = set_sketch.pack_bits(regs, near_duplicates.PLANES)
+    row = np.zeros(len(sets), near_duplicates._row_type(bits.shape[1]))
+    row["c"], row["n"], row["bits"] = np.arange(len(sets)) << 16, sizes, bits
+    a, b = near_duplicates._likely(row, *np.triu_indices(300, 1), 0.5, 3.0)
+    assert len(a) < 0.001 * 300 * 299 / 2  # with one bit of each register some 4 %
+    i, j = np.triu_indices(60, 1)
+    assert len(near_duplicates._likely(row, 300 + i, 300 + j, 0.5, 3.0)[0]) == len(i)
+
+
+def test_only_shared_bands_are_moved():
+    rng = np.random.default_rng(6)
+    sets = _similar_sets(rng, 40, 0, 100) + _similar_sets(rng, 2, 90, 10)
+    names = [(i << 16) + 5 for i in range(len(sets))]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array([b""] * len(sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["c", "ids", "items"])
+    keys = pa.Table.from_batches(list(near_duplicates._key_rows(iter([batch]), 28, 3, 128, 7))).sort_by("p")
+    shared = pa.Table.from_batches(list(near_duplicates._shared_bands(iter(keys.to_batches())))).to_pylist()
+    bands = {c: 0 for c in names[-2:]}
+    for r in shared:
+        bands[r["c"]] |= r["shared"]
+    _, regs = near_duplicates._sketched([x.tobytes() for x in sets[-2:]], 128)
+    same = sum(1 << b for b in range(28) if (regs[0, 3 * b : 3 * b + 3] == regs[1, 3 * b : 3 * b + 3]).all())
+    assert set(bands.values()) == {same} and same and len(bands) == 2
+
+
 def test_large_groups_and_buckets_lose_no_link(spark, monkeypatch):
     words = [f"w{i}" for i in range(80)]
     df = spark.createDataFrame([(i, "user", " ".join(words)) for i in range(30)] + [(100 + i, "user", " ".join([*words, f"x{i}"])) for i in range(20)], "k bigint, g string, t string")
