@@ -1,15 +1,15 @@
 """Problem 8: personal data inside free text, found by a BiLSTM-CRF over characters and replaced by typed placeholders.
 
-Decoding every character of a corpus would cost far more than reading it, so windows are laid around *cues*: words outside
-the background vocabulary, capitalised words in a row, digits that could make a number, house numbers, and at-signs in any spelling. The cues are wide
-(every kind has one by its definition); what they are is decided by the model alone. Overlapping windows of a long cue
-region are decoded together and reconciled over the whole text.
+Every character of a text is decoded, in overlapping windows that are reconciled over the whole text. The model was trained on
+windows around *cues*: words outside the background vocabulary, capitalised words in a row, digits that could make a number,
+house numbers, and at-signs in any spelling; ``cues`` and ``regions`` lay these for training only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from .tagger import CLASSES, KINDS, Tagger, char_classes
 
 MODEL = os.path.join(os.path.dirname(__file__), "models", "personal_data.npz")
 
-#: Characters of context on either side of a cue, length of a window and overlap of windows.
-CONTEXT, WINDOW, OVERLAP = 40, 160, 80
+#: Characters of context on either side of a cue, length of a training window and overlap of windows; length of a decoded window.
+CONTEXT, WINDOW, OVERLAP, DECODED = 40, 160, 80, 320
 
 _WORD = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿœ]+|[A-ZÀ-ÞŒ]+(?![a-zß-ÿœ])|[^\W\d_]+")
 _LONG_WORD = re.compile(r"[A-ZÀ-Þ][a-zß-ÿœ]{2,}|[a-zß-ÿœ]{3,}|[A-ZÀ-ÞŒ]{3,}(?![a-zß-ÿœ])|[^\W\d_a-zA-ZÀ-ÿŒœ]{3,}")
@@ -43,12 +43,26 @@ _OBFUSCATED = ("@", "at)", "at]", "at )", "at ]", " dot ", " punto ", " punkt ",
 _BLOB = re.compile(r"[A-Za-z0-9+/]{100,}")
 
 
+class _WordFlags(dict):
+    """1 for words of one letter and of the background vocabulary, 2 for others."""
+
+    def __init__(self, known: frozenset[str]):
+        super().__init__()
+        self.vocabulary = known
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = 1 if len(word) == 1 or word.lower() in self.vocabulary else 2
+        return out
+
+
 class Finder:
     def __init__(self, path: str = MODEL):
         with np.load(path) as f:
             self.known = frozenset(f["words"].tolist())
             self.model = Tagger({k: f[k] for k in f.files if k != "words"})
-        self.seen: dict[str, list[tuple[int, int, int, float]]] = {}
+        self.word_flags = _WordFlags(self.known)
 
     def cues(self, text: str) -> list[tuple[int, int]]:
         """Places of words outside the background vocabulary and of signs and digits that could be part of a mention."""
@@ -76,13 +90,13 @@ class Finder:
         """0 no word, 1 known, 2 unknown word, for the characters from begin to end; words are those of the whole text."""
         while begin and text[begin].isalpha() and text[begin - 1].isalpha():
             begin -= 1
-        out = np.zeros(end - begin, np.int8)
-        for m in _WORD.finditer(text, begin, min(len(text), end + 60)):
-            a, b = m.span()
-            if a >= end:
-                break
-            out[a - begin : b - begin] = 1 if b - a == 1 or m.group().lower() in self.known else 2
-        return out
+        stop = min(len(text), end + 60)
+        spans = [m.span() for m in _WORD.finditer(text, begin, stop)]
+        # stretches without and with a word in turn
+        borders = np.concatenate([[begin], np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)), [stop]])
+        values = np.zeros(2 * len(spans) + 1, np.int8)
+        values[1::2] = [self.word_flags[text[a:b]] for a, b in spans]
+        return np.repeat(values, np.diff(borders))[: end - begin]
 
     def symbols(self, text: str, begin: int, end: int) -> np.ndarray:
         """Input symbols of the model: character class and word flag."""
@@ -106,43 +120,37 @@ class Finder:
         return [(a, b) for a, b in out]
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """(begin, end, kind) of the mentions in each text, in order and without overlaps."""
+        """(begin, end, kind) of the mentions in each text, in order and without overlaps. Every character is decoded."""
         windows: list[tuple[int, int, int]] = []
         symbols: list[np.ndarray] = []
         for i, text in enumerate(texts):
-            for first, b in self.regions(text, self.cues(text)):
-                x, a = self.symbols(text, first, b), first
-                while True:
-                    end = min(b, a + WINDOW)
-                    windows.append((i, a, end))
-                    symbols.append(x[a - first : end - first])
-                    if end == b:
-                        break
-                    a = end - OVERLAP
+            x, a = self.symbols(text, 0, len(text)) if text else None, 0
+            while x is not None:
+                end = min(len(text), a + DECODED)
+                windows.append((i, a, end))
+                symbols.append(x[a:end])
+                if end == len(text):
+                    break
+                a = end - OVERLAP
         found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        # equal windows (frequent phrases) are decoded once
-        names = [s.tobytes() for s in symbols]
-        fresh = {n: k for k, n in enumerate(names) if n not in self.seen}
-        todo = sorted(fresh.values(), key=lambda k: len(symbols[k]))
-        for s in range(0, len(todo), 512):
-            part = todo[s : s + 512]
+        order = sorted(range(len(windows)), key=lambda k: len(symbols[k]))
+        for s in range(0, len(order), 512):
+            part = order[s : s + 512]
             lengths = np.array([len(symbols[k]) for k in part])
-            x = np.zeros((len(part), int(lengths.max())), np.int32)
+            x = np.zeros((len(part), int(lengths[-1])), np.int32)
             for row, k in enumerate(part):
                 x[row, : lengths[row]] = symbols[k]
-            mask = (np.arange(x.shape[1]) < lengths[:, None]).astype(np.float32)
-            tags, margin = self.model.viterbi(self.model.emissions(x, mask), lengths)
-            rows = np.flatnonzero(tags.any(1))
-            spans = dict(zip(rows.tolist(), (_spans(tags[r], margin[r], int(lengths[r])) for r in rows)))
-            for row, k in enumerate(part):
-                self.seen[names[k]] = spans.get(row, [])
-        for (i, a, end), name in zip(windows, names):
-            for begin, stop, kind, score in self.seen[name]:
-                # a span cut by the window's side is worth less than the same one seen whole
-                cut = (begin == 0 and a > 0) or (stop == end - a and end < len(texts[i]))
-                found[i].append((a + begin, a + stop, kind, score * (0.3 if cut else 1.0)))
-        if len(self.seen) > 60_000:
-            self.seen.clear()
+            e = self.model.scores(x, lengths)
+            held = np.flatnonzero(self.model.may_hold(e, lengths))
+            if not len(held):
+                continue
+            tags, margin = self.model.viterbi(e[:, :, held].transpose(2, 0, 1), lengths[held])
+            for r in np.flatnonzero(tags.any(1)):
+                i, a, end = windows[part[held[r]]]
+                for begin, stop, kind, score in _spans(tags[r], margin[r], end - a):
+                    # a span cut by the window's side is worth less than the same one seen whole
+                    cut = (begin == 0 and a > 0) or (stop == end - a and end < len(texts[i]))
+                    found[i].append((a + begin, a + stop, kind, score * (0.3 if cut else 1.0)))
         return [_checked(text, reconcile(own), self.known) for text, own in zip(texts, found)]
 
 
@@ -208,7 +216,7 @@ def _checked(text: str, spans: list[tuple[int, int, int]], known: frozenset[str]
         kind = KINDS[k]
         while a < b and (text[a].isspace() or text[a] in ",;:|\"<>{}=" or (text[a] in "([" and kind != "phone")):
             a += 1
-        while a and text[a].isalnum() and text[a - 1].isalnum():
+        while 0 < a < len(text) and text[a].isalnum() and text[a - 1].isalnum():
             a -= 1
         if kind == "phone":
             while a and text[a - 1] in "+(":

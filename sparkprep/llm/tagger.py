@@ -120,26 +120,74 @@ class Tagger:
         out += self.p["c"]
         return out.transpose(1, 0, 2)
 
+    def scores(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(t, tags, n): ``emissions`` of windows of symbols, for windows in the order of their lengths.
+
+        Windows lie along the last axis, so that each operation runs over contiguous rows; the scale of the gates is folded
+        into the weights, and rows whose window has ended, or has not begun from behind, are left out of a step.
+        """
+        n, steps = x.shape
+        h2, size = self.hidden, self.p["E"].shape[1]
+        begins = np.searchsorted(lengths, np.arange(steps), "right")
+        inputs = np.ascontiguousarray(self.p["E"][x.T].transpose(0, 2, 1))
+        out = np.empty((steps, N_TAGS, n), np.float32)
+        out[:] = self.p["c"][:, None]
+        for d in (0, 1):
+            joined = np.concatenate([self.p[f"Wh{d}"], self.p[f"Wx{d}"], self.p[f"b{d}"][None]]).T.copy()
+            joined[: 3 * h2] *= 0.25
+            joined[: 3 * h2, -1] += 0.5
+            w = self.p["W"][d * h2 : (d + 1) * h2].T.copy()
+            state, c = np.zeros((h2 + size + 1, n), np.float32), np.zeros((h2, n), np.float32)
+            state[-1] = 1
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                s = begins[t]
+                now, own = state[:, s:], c[:, s:]
+                now[h2:-1] = inputs[t, :, s:]
+                z = joined @ now
+                g, u = z[: 3 * h2], z[3 * h2 :]
+                np.maximum(g, 0, out=g)
+                np.minimum(g, 1, out=g)
+                u /= np.abs(u) + 1
+                u *= g[:h2]
+                own *= g[h2 : 2 * h2]
+                own += u
+                np.abs(own, out=u)
+                u += 1
+                np.divide(own, u, out=u)
+                np.multiply(u, g[2 * h2 :], out=now[:h2])
+                out[t, :, s:] += w @ now[:h2]
+        return out
+
+    def may_hold(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which windows of (t, tags, n) scores may have a tag on their best path; of the others it is proven that they have none.
+
+        A path gains over the one without tags at most, for each of its tagged characters, the tag's score over that of tag 0 with
+        the best transitions into it and out of it. Where no character of a window has a gain, its best path has no tags.
+        """
+        trans = self.p["T"] + allowed()
+        into = trans[:, 1:].max(0) - trans[0, 0]
+        into[::2] = np.maximum(into[::2], (self.p["F"] - self.p["F"][0])[1::2])
+        gain = (e[:, 1:] + (into + max(0.0, float(trans[1:, 0].max() - trans[0, 0])) + 1e-3).astype(np.float32)[:, None]).max(1) - e[:, 0]
+        return ((gain > 0) & (np.arange(len(e))[:, None] < lengths)).any(0)
+
     def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tags, margin): the best path of each window, and at each character its score over the best other tag."""
         n, steps, _ = e.shape
         trans = self.p["T"] + allowed()
         first = self.p["F"].copy()
         first[2::2] = -1e4
-        score, back = first + e[:, 0], np.zeros((steps, n, N_TAGS), np.int8)
+        along = np.ascontiguousarray(e.transpose(1, 2, 0))
+        score = np.empty((steps, N_TAGS, n), np.float32)
+        score[0] = first[:, None] + along[0]
         for t in range(1, steps):
-            best = score[:, :, None] + trans
-            back[t] = best.argmax(1)
-            new = np.take_along_axis(best, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[:, t]
-            live = (t < lengths)[:, None]
-            score = np.where(live, new, score)
+            new = (score[t - 1][:, None, :] + trans[:, :, None]).max(0) + along[t]
+            score[t] = np.where(t < lengths, new, score[t - 1])
         tags = np.zeros((n, steps), np.int8)
-        at = score.argmax(1)
-        rows = np.arange(n)
+        at = score[-1].argmax(0)
         for t in range(steps - 1, -1, -1):
             tags[:, t] = np.where(t < lengths, at, 0)
             if t:
-                at = np.where(t < lengths, back[t, rows, at], at)
+                at = np.where(t < lengths, (score[t - 1].T + trans.T[at]).argmax(1), at)
         own = np.take_along_axis(e, tags[:, :, None].astype(np.int64), 2)[:, :, 0]
         return tags, own - e[:, :, 0]
 

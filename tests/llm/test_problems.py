@@ -409,6 +409,44 @@ def test_unspaced_fields_are_searched():
     assert finder.regions(blob, finder.cues(blob)) == []
 
 
+def test_every_character_is_decoded(monkeypatch):
+    finder, seen = personal_data.load(), []
+    scores = finder.model.scores
+    monkeypatch.setattr(finder.model, "scores", lambda x, n: (seen.extend(r[:k] for r, k in zip(x, n)), scores(x, n))[1])
+    # no cue in the prose, none in the blob
+    texts = ["the run is long and the file is small. " * 40, "", "a", "aGVsbG8gd29ybGQ5555" * 40, "the row of the table " * 20 + "Write to runs+jo@quillmail.example today. " + "the row of the table " * 20]
+    assert not finder.regions(texts[0], finder.cues(texts[0])) and not finder.regions(texts[3], finder.cues(texts[3]))
+    assert [[m[2] for m in own] for own in finder.find(texts)] == [[], [], [], [], ["email"]]
+    step = personal_data.DECODED - personal_data.OVERLAP
+    whole = [finder.symbols(t, 0, len(t)) for t in texts]
+    want = [x[a : a + personal_data.DECODED].tobytes() for x in whole for a in range(0, len(x), step) if a == 0 or a + personal_data.OVERLAP < len(x)]
+    assert sorted(want) == sorted(x.tobytes() for x in seen)
+
+
+def test_a_mention_of_blanks_at_the_end_is_none():
+    assert personal_data._checked("call me ", [(7, 8, 2)], frozenset()) == []
+
+
+def test_scores_and_best_paths_of_the_tagger():
+    model, rng = personal_data.load().model, np.random.default_rng(2)
+    lengths = np.sort(rng.integers(1, 60, 40))
+    x = rng.integers(0, tagger.N_CLASSES * tagger.N_FLAGS, (40, int(lengths[-1]))).astype(np.int32)
+    mask = (np.arange(x.shape[1]) < lengths[:, None]).astype(np.float32)
+    e = model.emissions(x, mask)
+    got = model.scores(x, lengths).transpose(2, 0, 1)
+    assert np.abs((got - e) * mask[:, :, None]).max() < 1e-3
+    tags, _ = model.viterbi(e, lengths)
+    best = tagger.path_log_odds(model, e, lengths, tags)
+    for _ in range(30):  # no path that differs in a stretch is better
+        other, row, a = tags.copy(), rng.integers(40), rng.integers(60)
+        other[row, a : a + rng.integers(1, 9)] = rng.integers(0, tagger.N_TAGS)
+        other = np.where(mask > 0, other, 0)
+        assert (tagger.path_log_odds(model, e, lengths, other) <= best + 1e-3).all()
+    held = model.may_hold(e.transpose(1, 2, 0), lengths)
+    assert not tags[~held].any()
+    assert not model.may_hold(e.transpose(1, 2, 0) + np.eye(tagger.N_TAGS)[0][:, None] * 99, lengths).any()
+
+
 def test_reconciling_windows():
     spans = [(0, 5, 0, 2.0), (3, 9, 1, 5.0), (9, 12, 0, 1.0), (0, 5, 0, 2.5)]
     assert personal_data.reconcile(spans) == [(3, 9, 1), (9, 12, 0)]
