@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tagger import CLASSES, KINDS, Tagger, char_classes
+from .tagger import CLASSES, KINDS, TOGETHER, Tagger, char_classes
 
 MODEL = os.path.join(os.path.dirname(__file__), "models", "personal_data.npz")
 
 #: Characters of context on either side of a cue, length of a training window and overlap of windows; length of a decoded window.
 CONTEXT, WINDOW, OVERLAP, DECODED = 40, 160, 80, 320
 
-_WORD = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿœ]+|[A-ZÀ-ÞŒ]+(?![a-zß-ÿœ])|[^\W\d_]+")
+_WORD = re.compile(r"([A-ZÀ-Þ]?[a-zß-ÿœ]+|[A-ZÀ-ÞŒ]+(?![a-zß-ÿœ])|[^\W\d_]+)")
 _LONG_WORD = re.compile(r"[A-ZÀ-Þ][a-zß-ÿœ]{2,}|[a-zß-ÿœ]{3,}|[A-ZÀ-ÞŒ]{3,}(?![a-zß-ÿœ])|[^\W\d_a-zA-ZÀ-ÿŒœ]{3,}")
 #: Cues beside words. Each pattern begins with a set of characters, which the regular expression engine skips to fast.
 _AT_SIGN = re.compile(r"@|[(\[] ?at ?[)\]]| dot | punto | punkt | point ")
@@ -63,6 +62,8 @@ class Finder:
             self.known = frozenset(f["words"].tolist())
             self.model = Tagger({k: f[k] for k in f.files if k != "words"})
         self.word_flags = _WordFlags(self.known)
+        self.pieces: dict[str, bytes] = {}
+        self.pieces_size = 0
 
     def cues(self, text: str) -> list[tuple[int, int]]:
         """Places of words outside the background vocabulary and of signs and digits that could be part of a mention."""
@@ -91,17 +92,31 @@ class Finder:
         while begin and text[begin].isalpha() and text[begin - 1].isalpha():
             begin -= 1
         stop = min(len(text), end + 60)
-        spans = [m.span() for m in _WORD.finditer(text, begin, stop)]
-        # stretches without and with a word in turn
-        borders = np.concatenate([[begin], np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)), [stop]])
-        values = np.zeros(2 * len(spans) + 1, np.int8)
-        values[1::2] = [self.word_flags[text[a:b]] for a, b in spans]
-        return np.repeat(values, np.diff(borders))[: end - begin]
+        parts = _WORD.split(text[begin:stop])  # stretches without and with a word in turn
+        values = np.zeros(len(parts), np.int8)
+        values[1::2] = list(map(self.word_flags.__getitem__, parts[1::2]))
+        return values.repeat(np.fromiter(map(len, parts), np.int64, len(parts)))[: end - begin]
 
     def symbols(self, text: str, begin: int, end: int) -> np.ndarray:
         """Input symbols of the model: character class and word flag."""
         return char_classes(text[begin:end]).astype(np.int32) * 3 + self.flags(text, begin, end)[-(end - begin) :]
 
+    def all_symbols(self, texts: list[str]) -> list[np.ndarray]:
+        """``symbols`` of whole texts, put together from those of the pieces between blanks; no word goes over a blank."""
+        if self.pieces_size > 20_000_000:
+            self.pieces.clear()
+            self.pieces_size = 0
+        split = [t.split(" ") for t in texts]
+        new = list(set().union(*split) - self.pieces.keys())
+        joined = " ".join([" ", *new])
+        own, at = self.symbols(joined, 0, len(joined)).astype(np.int16).tobytes(), 4
+        for piece in new:
+            end = at + 2 * len(piece)
+            self.pieces[piece] = own[at:end]
+            at = end + 2
+        self.pieces_size += len(own) + 100 * len(new)
+        return [np.frombuffer(own[:2].join(map(self.pieces.__getitem__, x)), np.int16) for x in split]
+
     def regions(self, text: str, cues: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Merged surroundings of the cues, to whole words; unbroken blobs of letters, digits, '+' and '/' have none."""
         if not cues:
@@ -123,9 +138,9 @@ class Finder:
         """(begin, end, kind) of the mentions in each text, in order and without overlaps. Every character is decoded."""
         windows: list[tuple[int, int, int]] = []
         symbols: list[np.ndarray] = []
-        for i, text in enumerate(texts):
-            x, a = self.symbols(text, 0, len(text)) if text else None, 0
-            while x is not None:
+        for i, (text, x) in enumerate(zip(texts, self.all_symbols(texts))):
+            a = 0
+            while text:
                 end = min(len(text), a + DECODED)
                 windows.append((i, a, end))
                 symbols.append(x[a:end])
@@ -134,8 +149,8 @@ class Finder:
                 a = end - OVERLAP
         found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         order = sorted(range(len(windows)), key=lambda k: len(symbols[k]))
-        for s in range(0, len(order), 512):
-            part = order[s : s + 512]
+        for s in range(0, len(order), 8 * TOGETHER):
+            part = order[s : s + 8 * TOGETHER]
             lengths = np.array([len(symbols[k]) for k in part])
             x = np.zeros((len(part), int(lengths[-1])), np.int32)
             for row, k in enumerate(part):

@@ -447,6 +447,38 @@ def test_scores_and_best_paths_of_the_tagger():
     assert not model.may_hold(e.transpose(1, 2, 0) + np.eye(tagger.N_TAGS)[0][:, None] * 99, lengths).any()
 
 
+def test_scores_of_many_windows_of_mixed_lengths():
+    model, rng = personal_data.load().model, np.random.default_rng(3)
+    n = 2 * tagger.TOGETHER + 5
+    for lengths in (np.sort(rng.integers(1, 30, n)), np.full(n, 20)):
+        x = rng.integers(0, tagger.N_CLASSES * tagger.N_FLAGS, (n, int(lengths[-1]))).astype(np.int32)
+        mask = (np.arange(x.shape[1]) < lengths[:, None]).astype(np.float32)
+        got = model.scores(x, lengths).transpose(2, 0, 1)
+        assert np.abs((got - model.emissions(x, mask)) * mask[:, :, None]).max() < 1e-3
+        held = model.may_hold(got.transpose(1, 2, 0), lengths)
+        assert not model.viterbi(got, lengths)[0][~held].any()
+
+
+def test_best_paths_are_sought_only_where_a_mention_may_begin(monkeypatch):
+    finder, seen = personal_data.load(), []
+    viterbi = finder.model.viterbi
+    monkeypatch.setattr(finder.model, "viterbi", lambda e, n: (seen.append(len(n)), viterbi(e, n))[1])
+    prose = "the row of the table " * 60
+    assert finder.find([prose]) == [[]] and not seen
+    assert [m[2] for m in finder.find([prose + "Write to runs+jo@quillmail.example today."])[0]] == ["email"] and seen
+
+
+def test_symbols_of_texts_from_their_pieces():
+    finder = personal_data.Finder()
+    texts = ["", " ", "  a", "Frau Müller-Lüdenscheidt  wohnt\nhier\tund dort. ", "camelCaseWORDSomething x9y ŒUVRE", "数据 \U0001f600\u00a0x\ud800", "aGVsbG8gd29ybGQ5555" * 40]
+    for size in (0, 10**9):  # kept from before, and dropped
+        finder.pieces_size = size
+        for text, got in zip(texts, finder.all_symbols(texts), strict=True):
+            want = finder.symbols(text, 0, len(text)) if text else np.zeros(0, np.int32)
+            assert got.tolist() == want.tolist(), text
+    assert finder.pieces_size < 10**6
+
+
 def test_reconciling_windows():
     spans = [(0, 5, 0, 2.0), (3, 9, 1, 5.0), (9, 12, 0, 1.0), (0, 5, 0, 2.5)]
     assert personal_data.reconcile(spans) == [(3, 9, 1), (9, 12, 0)]
